@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.ranking import top_k
 from lexspark.functions.text import Tokenizer, bm25_tokens, term_counts
+from lexspark.operators.postings import forward_index
 
 # The standard Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -19,7 +20,8 @@ SCORE_DIGITS = 4
 class BM25Index:
     """``documents(doc_id, dl)``, ``postings(doc_id, dl, term, tf)`` and ``terms(term, df, idf)``.
 
-    All three are lazy; ``write`` stores them so that many search jobs share one tokenisation.
+    ``build`` tokenises the corpus once into a stored forward index; the rest is lazy over it.
+    ``write`` stores everything in a term-sorted layout for later search jobs.
     ``stats`` holds one row ``(n_docs, avgdl, mean_idf)``.
     """
 
@@ -31,10 +33,7 @@ class BM25Index:
 
     @classmethod
     def build(cls, docs: DataFrame, tokenizer: Tokenizer = bm25_tokens) -> BM25Index:
-        tokens = docs.select("doc_id", tokenizer(F.col("text")).alias("tokens"))
-        counted = tokens.select(
-            "doc_id", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("counts")
-        )
+        counted = forward_index(docs, tokenizer)
         documents = counted.select("doc_id", "dl")
         postings = counted.select("doc_id", "dl", F.inline("counts"))
         sizes = documents.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.ranking import top_k
 from lexspark.functions.text import Tokenizer, term_counts, word_tokens
+from lexspark.operators.postings import forward_index
 
 SIM_DIGITS = 6
 
@@ -29,7 +30,8 @@ class TermVectorizer:
         kind = kind.strip().lower()
         if kind not in ("count", "tfidf"):
             raise ValueError("kind must be 'count' or 'tfidf'")
-        distinct = docs.select(F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("term"))
+        counts = docs if "counts" in docs.columns else forward_index(docs, tokenizer)
+        distinct = counts.select(F.explode("counts.term").alias("term"))
         n_docs = docs.agg(F.count("*").alias("n")).scalar()
         idf = F.ln((n_docs + 1) / (F.col("df") + 1)) + 1
         vocabulary = distinct.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
@@ -45,7 +47,9 @@ class TermVectorizer:
         return cls(stored.drop("kind"), first["kind"] if first else "tfidf", tokenizer)
 
     def counts(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
-        """Raw term counts, unknown to the vocabulary or not; narrow."""
+        """Raw term counts of texts, or of a forward index; narrow."""
+        if "counts" in texts.columns:
+            return texts.select(key, F.inline("counts"))
         return texts.select(key, F.inline(term_counts(self.tokenizer(F.col("text")))))
 
     def weighted(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -67,7 +71,10 @@ class TermVectorizer:
         return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
     def similarities(self, docs: DataFrame, queries: DataFrame) -> DataFrame:
-        """``(query_id, doc_id, sim)`` of every query and document that share a term."""
+        """``(query_id, doc_id, sim)`` of every query and document that share a term.
+
+        ``docs`` is a text table or its forward index.
+        """
         q = self.weighted(queries.select("query_id", F.col("query").alias("text")), "query_id")
         q_norm = q.groupBy("query_id").agg(F.sum(F.col("w") * F.col("w")).alias("qq"))
         d = self.weighted(docs)
@@ -87,19 +94,29 @@ class TermVectorizer:
         terms = F.sort_array(F.array_distinct(self.tokenizer(F.col("text"))))
         return docs.select("doc_id", "text", terms.alias("terms"))
 
-    def top_n(self, docs: DataFrame, queries: DataFrame, n: int = 1) -> DataFrame:
+    def index(self, docs: DataFrame) -> DataFrame:
+        """Forward index of ``docs`` in this vectoriser's tokens, to score many batches against."""
+        return forward_index(docs, self.tokenizer)
+
+    def top_n(
+        self, docs: DataFrame, queries: DataFrame, n: int = 1, index: DataFrame | None = None
+    ) -> DataFrame:
         """The ``n`` most similar texts per query, with their terms; ties by doc_id."""
-        best = top_k(self.similarities(docs, queries), ["query_id"], [F.desc("sim"), F.asc("doc_id")], n)
+        best = top_k(self.similarities(docs if index is None else index, queries), ["query_id"], [F.desc("sim"), F.asc("doc_id")], n)
         return best.join(self.terms_of(docs), "doc_id").select(
             "query_id", "rank", "doc_id", "sim", "text", "terms"
         )
 
-    def has_match(self, docs: DataFrame, queries: DataFrame, threshold: float = 0.8) -> DataFrame:
+    def has_match(
+        self, docs: DataFrame, queries: DataFrame, threshold: float = 0.8, index: DataFrame | None = None
+    ) -> DataFrame:
         """Per query: does any text exceed ``threshold``, the best similarity, its text and terms.
 
         A query that shares no term with the corpus gets similarity 0 and the first text.
         """
-        best = top_k(self.similarities(docs, queries), ["query_id"], [F.desc("sim"), F.asc("doc_id")], 1)
+        best = top_k(
+            self.similarities(docs if index is None else index, queries), ["query_id"], [F.desc("sim"), F.asc("doc_id")], 1
+        )
         first_doc = docs.agg(F.min("doc_id").alias("first")).scalar()
         filled = queries.select("query_id").join(best, "query_id", "left").select(
             "query_id",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions.stopwords import FRENCH_STOPWORDS
+from lexspark.sources.tables import spread
 from lexspark.functions.text import NORMALIZED_STOPWORDS, PUNCTUATION, WHITESPACE, WORD_PATTERN
 
 
@@ -14,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,8 @@ def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    found = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return spread(found, "doc_id")
 
 
 def sql_text(value: str) -> str:

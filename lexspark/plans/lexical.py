@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.functions.materialize import new_table_path
 from lexspark.operators.bm25 import BM25Index
+from lexspark.operators.postings import forward_index
 from lexspark.operators.vectorize import TermVectorizer
 from lexspark.plans.common import (
     NORMALIZED_STOPWORDS_SQL, bm25_tokens_sql, documents, queries_table, sql_text, table, word_tokens_sql,
@@ -35,19 +36,18 @@ def bm25_search(spark, sf):
 
 
 def count_vectors(spark, sf):
-    docs = documents(spark, sf)
-    return TermVectorizer.fit(docs, "count").transform(docs)
+    index = forward_index(documents(spark, sf), T.word_tokens)
+    return TermVectorizer.fit(index, "count").transform(index)
 
 
 def tfidf_vectors(spark, sf):
-    docs = documents(spark, sf)
-    return TermVectorizer.fit(docs).transform(docs).withColumn("weight", F.round("weight", 6))
+    index = forward_index(documents(spark, sf), T.word_tokens)
+    return TermVectorizer.fit(index).transform(index).withColumn("weight", F.round("weight", 6))
 
 
 def vectorizer_roundtrip(spark, sf):
-    docs = documents(spark, sf)
     path = new_table_path(spark, "vectorizer")
-    TermVectorizer.fit(docs).save(path)
+    TermVectorizer.fit(documents(spark, sf)).save(path)
     unseen = queries_table(spark, sf).select("query_id", F.col("query").alias("text"))
     out = TermVectorizer.load(spark, path).transform(unseen, "query_id")
     return out.withColumn("weight", F.round("weight", 6))
@@ -55,13 +55,15 @@ def vectorizer_roundtrip(spark, sf):
 
 def tfidf_top_n(spark, sf):
     docs = documents(spark, sf)
-    best = TermVectorizer.fit(docs).top_n(docs, queries_table(spark, sf), n=3)
+    index = forward_index(docs, T.word_tokens)
+    best = TermVectorizer.fit(index).top_n(docs, queries_table(spark, sf), n=3, index=index)
     return best.select("query_id", "rank", "doc_id", "sim", "text", F.array_join("terms", " ").alias("terms"))
 
 
 def tfidf_has_match(spark, sf):
     docs = documents(spark, sf)
-    out = TermVectorizer.fit(docs).has_match(docs, queries_table(spark, sf), threshold=0.8)
+    index = forward_index(docs, T.word_tokens)
+    out = TermVectorizer.fit(index).has_match(docs, queries_table(spark, sf), threshold=0.8, index=index)
     return out.withColumn("terms", F.array_join("terms", " "))
 
 
