@@ -21,6 +21,8 @@ class Encoder(Protocol):
 
     def similarity(self, text: Column, embedding: Column) -> Column: ...
 
+    def similarities(self, text: Column, embeddings: Column) -> Column: ...
+
 
 class HashedTokenEncoder:
     """Signed feature hashing of tokens, then L2 normalisation.
@@ -68,18 +70,21 @@ class HashedTokenEncoder:
 
         return scatter(self._signed_buckets(text))
 
-    def similarity(self, text: Column, embedding: Column) -> Column:
-        """Cosine of a *short* text to a unit vector, from the few buckets the text touches.
+    def similarities(self, text: Column, embeddings: Column) -> Column:
+        """Cosines of a *short* text to an array of unit vectors, from the buckets the text touches.
 
-        Never builds the dense vector, so scoring many short phrases stays in the JVM.
+        Never builds the text's dense vector, so scoring many short phrases stays in the JVM.
         """
 
         def score(s: Column) -> Column:
-            signed, unit = s["signed"], s["unit"]
-            along = F.aggregate(
-                signed, F.lit(0.0), lambda acc, b: acc + F.signum(b) * F.get(unit, F.abs(b) - 1)
-            )
-            # |v|^2 = sum over token pairs that share a bucket of the product of their signs.
+            signed = s["signed"]
+
+            def along(unit: Column) -> Column:
+                return F.aggregate(
+                    signed, F.lit(0.0), lambda acc, b: acc + F.signum(b) * F.get(unit, F.abs(b) - 1)
+                )
+
+            # |v|^2 sums, over token pairs that share a bucket, the product of their signs.
             square = F.aggregate(
                 signed,
                 F.lit(0.0),
@@ -87,19 +92,25 @@ class HashedTokenEncoder:
                 + F.aggregate(
                     signed,
                     F.lit(0.0),
-                    lambda inner, c: inner
-                    + F.when(c == b, 1.0).when(c == -b, -1.0).otherwise(0.0),
+                    lambda inner, c: inner + F.when(c == b, 1.0).when(c == -b, -1.0).otherwise(0.0),
                 ),
             )
+            norm = F.element_at(F.transform(F.array(square), lambda q: F.sqrt(q)), 1)
             return F.transform(
-                F.array(square), lambda q: F.when(q > 0, along / F.sqrt(q)).otherwise(F.lit(0.0))
+                F.array(F.struct(norm.alias("n"))),
+                lambda m: F.transform(
+                    s["units"], lambda u: F.when(m["n"] > 0, along(u) / m["n"]).otherwise(F.lit(0.0))
+                ),
             )
 
         packed = F.array(
-            F.struct(self._signed_buckets(text).alias("signed"), embedding.alias("unit"))
+            F.struct(self._signed_buckets(text).alias("signed"), embeddings.alias("units"))
         )
         return F.element_at(F.element_at(F.transform(packed, score), 1), 1)
 
+    def similarity(self, text: Column, embedding: Column) -> Column:
+        return F.element_at(self.similarities(text, F.array(embedding)), 1)
+
 
 class ModelEncoder:
     """A user's sentence model behind ``predict_batch_udf``.
@@ -120,5 +131,10 @@ class ModelEncoder:
         )
         return predict(text)
 
+    def similarities(self, text: Column, embeddings: Column) -> Column:
+        return F.transform(
+            F.array(self(text)), lambda v: F.transform(embeddings, lambda e: cosine(v, e))
+        ).getItem(0)
+
     def similarity(self, text: Column, embedding: Column) -> Column:
         return cosine(self(text), embedding)

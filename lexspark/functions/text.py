@@ -86,6 +86,11 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(strip_accents(F.lower(text)), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def word_only_tokens(text: Column) -> Column:
+    """Words of two or more word characters, lower-cased, accents kept."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
+
+
 def wordpunct_tokens(text: Column) -> Column:
     """Runs of word characters and runs of punctuation, in reading order, case kept."""
     return F.regexp_extract_all(text, F.lit(WORDPUNCT_PATTERN), F.lit(0))
