@@ -117,10 +117,16 @@ def token_windows(tokens: Column, window: int, offset: int = 1, drop_empty: bool
     # Bound as a lambda variable so the token array is built once, not once per window.
     def windows_of(bound: Column) -> Column:
         last = F.greatest(F.lit(0), F.floor((F.size(bound) - window) / F.lit(offset)).cast("int")) + 1
-        return F.transform(
-            F.sequence(F.lit(0), last),
-            lambda j: F.slice(bound, j * offset + 1, F.lit(window)),
-        )
+
+        def one(j: Column) -> Column:
+            width = F.least(F.lit(window), F.size(bound) - j * offset)
+            # get() reads one element; slice() would copy the whole array for every window.
+            return F.when(
+                width > 0,
+                F.transform(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1), lambda x: F.get(bound, j * offset + x)),
+            ).otherwise(F.slice(bound, 1, 0))
+
+        return F.transform(F.sequence(F.lit(0), last), one)
 
     chunks = F.element_at(F.transform(F.array(tokens), windows_of), 1)
     return F.filter(chunks, lambda c: F.size(c) > 0) if drop_empty else chunks
@@ -175,7 +181,10 @@ def ngrams(tokens: Column, n_min: int, n_max: int) -> Column:
         count = F.size(bound) - (n - 1)
         return F.when(
             count > 0,
-            F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(bound, i, n)),
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
+                lambda i: F.array(*[F.get(bound, i + j) for j in range(n)]),
+            ),
         ).otherwise(F.array().cast("array<array<string>>"))
 
     return F.element_at(

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.rows import unnest, unnest_structs
 from lexspark.functions.ranking import top_k
 from lexspark.functions.text import Tokenizer, bm25_tokens, term_counts
 from lexspark.operators.postings import forward_index
@@ -35,7 +36,7 @@ class BM25Index:
     def build(cls, docs: DataFrame, tokenizer: Tokenizer = bm25_tokens) -> BM25Index:
         counted = forward_index(docs, tokenizer)
         documents = counted.select("doc_id", "dl")
-        postings = counted.select("doc_id", "dl", F.inline("counts"))
+        postings = unnest_structs(counted, ["doc_id", "dl"], "counts")
         sizes = documents.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
         # A term occurs once per document in postings, so its row count is its document frequency.
         frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -69,7 +70,7 @@ class BM25Index:
     def _query_terms(self, queries: DataFrame) -> DataFrame:
         """``(query_id, term, qtf)``; a repeated query token counts as often as it occurs."""
         counts = term_counts(self.tokenizer(F.col("query")))
-        return queries.select("query_id", F.inline(counts)).withColumnRenamed("tf", "qtf")
+        return unnest_structs(queries, ["query_id"], counts).withColumnRenamed("tf", "qtf")
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """``(query_id, doc_id, score)`` for every document that shares a term with the query."""
@@ -124,5 +125,5 @@ class BM25Index:
             matched > k,
             F.raise_error("more than k matches but fewer than k positive scores: use zero_fill=False"),
         ).otherwise(pool)
-        fill = short.select("query_id", F.explode(guarded).alias("doc_id"))
+        fill = unnest(short, ["query_id"], guarded, "doc_id")
         return fill.join(scored, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.rows import unnest, unnest_structs, unnest_with_position
 from lexspark.functions.encode import Encoder
 from lexspark.functions.ranking import top_k
 from lexspark.functions.stopwords import FRENCH_STOPWORDS
@@ -31,7 +32,7 @@ def keyword_candidates(
     tokens = remove_stopwords(word_only_tokens(F.col("text")), stopwords)
     phrases = F.array_distinct(F.transform(ngrams(tokens, 1, max_words), lambda g: F.array_join(g, " ")))
     listed = docs.select("doc_id", encoder(F.col("text")).alias("unit"), phrases.alias("phrases"))
-    scored = listed.select("doc_id", "unit", F.explode("phrases").alias("phrase")).select(
+    scored = unnest(listed, ["doc_id", "unit"], "phrases", "phrase").select(
         "doc_id", "phrase", F.round(encoder.similarity(F.col("phrase"), F.col("unit")), SIM_DIGITS).alias("score")
     )
     return top_k(scored, ["doc_id"], [F.desc("score"), F.asc("phrase")], n_candidates)
@@ -81,7 +82,7 @@ def embedding_keywords(
 
     chosen = packed.withColumn("picks", least_similar(F.col("c.v")))
     kept = F.transform("picks", lambda i: F.struct(F.get("c", i)["phrase"].alias("phrase"), F.get("c", i)["score"].alias("score")))
-    return chosen.select("doc_id", F.inline(kept))
+    return unnest_structs(chosen, ["doc_id"], kept)
 
 
 def annotate_keywords(
@@ -116,7 +117,7 @@ def _annotate(docs, anchors, encoder, threshold, window, tokenizer):
     ids = F.array(*[F.lit(row.anchor_id) for row in anchors])
     units = F.array(*[F.array(*[F.lit(float(x)) for x in row.unit]) for row in anchors])
     windows = token_windows(tokenizer(F.col("text")), window, 1, drop_empty=True)
-    chunks = docs.select("doc_id", F.posexplode(windows).alias("chunk_no", "tokens")).select(
+    chunks = unnest_with_position(docs, ["doc_id"], windows, "chunk_no", "tokens").select(
         "doc_id", "chunk_no", F.array_join("tokens", " ").alias("chunk")
     )
     scores = chunks.withColumn("scores", encoder.similarities(F.col("chunk"), units))
@@ -126,6 +127,6 @@ def _annotate(docs, anchors, encoder, threshold, window, tokenizer):
         ),
         lambda hit: hit["similarity"] > threshold,
     )
-    return scores.select("doc_id", "chunk_no", "chunk", F.inline(near)).select(
+    return unnest_structs(scores, ["doc_id", "chunk_no", "chunk"], near).select(
         "doc_id", "chunk_no", "anchor_id", "chunk", "similarity"
     )

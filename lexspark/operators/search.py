@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.rows import unnest
 from lexspark.functions.encode import Encoder
 from lexspark.functions.ranking import top_k
 from lexspark.functions.text import Tokenizer, word_tokens
@@ -44,8 +45,9 @@ def overlap_scorer(index: DataFrame, n_docs: DataFrame, tokenizer: Tokenizer = w
     """
 
     def score(pairs: DataFrame) -> DataFrame:
-        terms = pairs.select("query_id", "query").distinct().select(
-            "query_id", F.explode(F.array_distinct(tokenizer(F.col("query")))).alias("term")
+        terms = unnest(
+            pairs.select("query_id", "query").distinct(), ["query_id"],
+            F.array_distinct(tokenizer(F.col("query"))), "term",
         )
         n = n_docs.select("n").scalar()
         weight = F.ln((n + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions.rows import unnest, unnest_structs
 from lexspark.functions.ranking import top_k
 from lexspark.functions.text import Tokenizer, term_counts, word_tokens
 from lexspark.operators.postings import forward_index
@@ -31,7 +32,7 @@ class TermVectorizer:
         if kind not in ("count", "tfidf"):
             raise ValueError("kind must be 'count' or 'tfidf'")
         counts = docs if "counts" in docs.columns else forward_index(docs, tokenizer)
-        distinct = counts.select(F.explode("counts.term").alias("term"))
+        distinct = unnest(counts, [], "counts.term", "term")
         n_docs = docs.agg(F.count("*").alias("n")).scalar()
         idf = F.ln((n_docs + 1) / (F.col("df") + 1)) + 1
         vocabulary = distinct.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
@@ -49,8 +50,8 @@ class TermVectorizer:
     def counts(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
         """Raw term counts of texts, or of a forward index; narrow."""
         if "counts" in texts.columns:
-            return texts.select(key, F.inline("counts"))
-        return texts.select(key, F.inline(term_counts(self.tokenizer(F.col("text")))))
+            return unnest_structs(texts, [key], "counts")
+        return unnest_structs(texts, [key], term_counts(self.tokenizer(F.col("text"))))
 
     def weighted(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
         """Unnormalised weights ``(key, term, w)`` of terms in the vocabulary.

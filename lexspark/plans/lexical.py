@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexspark.functions.rows import unnest_with_position
 from lexspark.functions import text as T
 from lexspark.functions.materialize import new_table_path
 from lexspark.operators.bm25 import BM25Index
@@ -17,7 +18,7 @@ from lexspark.plans.common import (
 def _tokens(expression):
     def run(spark, sf):
         docs = documents(spark, sf)
-        return docs.select("doc_id", F.posexplode(expression(F.col("text"))).alias("pos", "token"))
+        return unnest_with_position(docs, ["doc_id"], expression(F.col("text")), "pos", "token")
     return run
 
 
@@ -110,14 +111,14 @@ def _flatten(spark, sf):
 def _windows(spark, sf):
     docs = documents(spark, sf)
     tokens = T.wordpunct_tokens(F.col("text"))
-    chunks = docs.select("doc_id", F.posexplode(T.token_windows(tokens, 4, 2)).alias("chunk_no", "chunk"))
+    chunks = unnest_with_position(docs, ["doc_id"], T.token_windows(tokens, 4, 2), "chunk_no", "chunk")
     return chunks.withColumn("chunk", F.array_join("chunk", " "))
 
 
 def _paragraphs(spark, sf):
     docs = documents(spark, sf)
     windows = T.paragraph_windows(F.col("text"), 2, 1)
-    return docs.select("doc_id", F.posexplode(windows).alias("chunk_no", "chunk")).withColumn(
+    return unnest_with_position(docs, ["doc_id"], windows, "chunk_no", "chunk").withColumn(
         "chunk", F.array_join("chunk", "\n")
     )
 

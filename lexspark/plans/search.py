@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexspark.functions.rows import unnest, unnest_with_position
 from lexspark.functions.encode import HashedTokenEncoder
 from lexspark.functions.materialize import cut_lineage
 from lexspark.functions.text import word_tokens
@@ -26,14 +27,14 @@ def encoded_queries(spark, sf):
 
 
 def encode_hashed(spark, sf):
-    long = encoded_documents(spark, sf).select("doc_id", F.posexplode("embedding").alias("bucket", "x"))
+    long = unnest_with_position(encoded_documents(spark, sf), ["doc_id"], "embedding", "bucket", "x")
     return long.where("x <> 0").select("doc_id", "bucket", F.round("x", 6).alias("weight"))
 
 
 def l2_normalized(spark, sf):
     doubled = F.transform("embedding", lambda x: x * 2)
     unit = vectors(spark, sf).select("doc_id", l2_normalize(doubled).alias("v"))
-    return unit.select("doc_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return unnest_with_position(unit, ["doc_id"], "v", "pos", "x").withColumn("x", F.round("x", 6))
 
 
 def pair_sims(spark, sf):
@@ -87,7 +88,7 @@ def ann_mean_recall(spark, sf):
 
 def _scorer(docs):
     index = forward_index(docs, word_tokens)
-    frequencies = index.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    frequencies = unnest(index, [], "counts.term", "term").groupBy("term").agg(F.count("*").alias("df"))
     return search.overlap_scorer(frequencies, index.agg(F.count("*").alias("n")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions.rows import unnest_with_position
+
 # The two accepted segment shapes and the level-5 case shape.
 SEGMENT_WITH_QUOTE = r"(?s)(\*{2}[^*]+\*{2})([^>]+?)(>.*)"
 SEGMENT_NO_QUOTE = r"(?s)(\*{2}[^*]+\*{2})([^>]+?)"
@@ -24,7 +26,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 def split_segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, seg_no, segment)`` of a text column."""
-    return docs.select(key, F.posexplode(F.split(text, SEPARATOR)).alias("seg_no", "segment"))
+    return unnest_with_position(docs, [key], F.split(text, SEPARATOR), "seg_no", "segment")
 
 
 def _parse_columns(full_content: bool) -> dict[str, Column]:
@@ -94,8 +96,8 @@ def parse_cases(books: DataFrame, key: str = "path", lenient: bool = False) -> D
     the reference; ``lenient`` finds every heading and a last case without a following ``#``.
     """
     pattern = CASE_LENIENT if lenient else CASE
-    found = books.select(
-        key, F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(2))).alias("case_no", "body")
+    found = unnest_with_position(
+        books, [key], F.regexp_extract_all("text", F.lit(pattern), F.lit(2)), "case_no", "body"
     )
     body = F.col("body")
     after_title = F.when(
