@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.rows import unnest, unnest_structs
+from lexspark.functions.materialize import cut_lineage
 from lexspark.functions.ranking import top_k
 from lexspark.functions.text import Tokenizer, bm25_tokens, term_counts
 from lexspark.operators.postings import forward_index
@@ -97,19 +98,19 @@ class BM25Index:
         scored = self.scores(queries)
         if not zero_fill:
             return top_k(scored, ["query_id"], order, k)
-        best = top_k(scored, ["query_id"], order, k)
-        filled = best.drop("rank").unionByName(self._zero_fill(queries, scored, k))
-        return top_k(filled, ["query_id"], order, k)
+        # One row more than asked, stored: it decides alone whether and how a query is filled.
+        best = cut_lineage(top_k(scored, ["query_id"], order, k + 1).drop("rank"), "best")
+        return top_k(best.unionByName(self._zero_fill(queries, best, k)), ["query_id"], order, k)
 
-    def _zero_fill(self, queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    def _zero_fill(self, queries: DataFrame, best: DataFrame, k: int) -> DataFrame:
         """The first ``k`` unmatched documents of each query that has fewer than ``k`` positive scores.
 
-        With a non-negative floor such a query matches fewer than ``k`` documents of positive score
-        and ties at zero are still ordered by doc_id, so 2k smallest ids always hold k unmatched
-        ones. A negative floor (almost every term in almost every document) can break that bound;
-        the job then stops with a message instead of returning a wrong list.
+        With a non-negative floor such a query matches at most ``k`` documents, all of them in
+        ``best``, so the 2k smallest ids hold k unmatched ones. A negative floor (almost every term
+        in almost every document) can break that bound; the job then stops with a message instead of
+        returning a wrong list.
         """
-        counted = scored.groupBy("query_id").agg(
+        counted = best.groupBy("query_id").agg(
             F.count("*").alias("matched"), F.count_if(F.col("score") > 0).alias("positive")
         )
         short = (
@@ -126,4 +127,4 @@ class BM25Index:
             F.raise_error("more than k matches but fewer than k positive scores: use zero_fill=False"),
         ).otherwise(pool)
         fill = unnest(short, ["query_id"], guarded, "doc_id")
-        return fill.join(scored, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+        return fill.join(best, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))

@@ -84,10 +84,11 @@ def dense_top_k(
     With ``celled`` the corpus has a ``cell`` column and queries an array ``cells``; a query sees
     only the rows of its cells.
     """
-    corpus = corpus.where(F.col("embedding").isNotNull())
-    queries = queries.where(F.col("embedding").isNotNull())
+    # Rows without a vector are dropped inside the tasks: a filter here would be pushed below a
+    # Python encoder and run it twice.
     # Only the query batch is looked at here, and never more than one row beyond the bound.
     head = queries.limit(max_broadcast + 1).toArrow()
+    head = head.filter(head.column("embedding").is_valid()) if head.num_rows <= max_broadcast else head
     plan = _broadcast_plan if head.num_rows <= max_broadcast else _block_plan
     hits = plan(corpus, queries, head, k, celled)
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
@@ -122,6 +123,7 @@ def _broadcast_plan(corpus, queries, head, k, celled):
                 probing.setdefault(cell, []).append(row)
         best = None
         for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
             if batch.num_rows == 0:
                 continue
             ids, dense = ids_of(batch.column(0)), unit_rows(batch.column(1))
@@ -156,7 +158,9 @@ def _block_plan(corpus, queries, head, k, celled):
 
     A hot cell is split into as many corpus blocks as its row count asks for.
     """
-    dim = len(head.column("embedding")[0].as_py())
+    corpus = corpus.where(F.col("embedding").isNotNull())
+    queries = queries.where(F.col("embedding").isNotNull())
+    dim = max(len(v.as_py() or ()) for v in head.column("embedding"))
     n_query_blocks = math.ceil(queries.count() / MAX_BROADCAST_QUERIES)
     rows_per_block = max(1, BLOCK_ROWS * 64 // max(dim, 1))
     if celled:

@@ -56,13 +56,17 @@ def overlap_scorer(index: DataFrame, n_docs: DataFrame, tokenizer: Tokenizer = w
         )
         # One row per query; its list is as long as the query has distinct terms.
         per_query = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-        scored = pairs.join(per_query, "query_id", "left").withColumn("passage", tokenizer(F.col("text")))
+        scored = pairs.join(per_query, "query_id", "left")
 
         def total(items):
             return F.aggregate(items, F.lit(0.0), lambda acc, i: acc + i["idf"])
 
-        hit = total(F.filter("items", lambda i: F.array_contains("passage", i["term"])))
-        value = F.when(F.size("items") > 0, hit / total(F.col("items"))).otherwise(0.0)
+        # The passage is bound as a lambda variable, so it is tokenised once per pair.
+        hits = F.transform(
+            F.array(tokenizer(F.col("text"))),
+            lambda passage: total(F.filter("items", lambda i: F.array_contains(passage, i["term"]))),
+        )
+        value = F.when(F.size("items") > 0, F.element_at(hits, 1) / total(F.col("items"))).otherwise(0.0)
         return scored.select("query_id", "doc_id", F.round(value, SCORE_DIGITS).alias("rerank_score"))
 
     return score
