@@ -24,6 +24,10 @@ def _field_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def _arrow_type(df: DataFrame, column: str):
+    return df.select(column).limit(0).toArrow().schema.field(0).type
+
+
 def _make_kernel(k: int, digits: int):
     """Functions shared by both plans, built inside a closure so tasks need no import of this module."""
     import numpy as np
@@ -108,6 +112,7 @@ def _broadcast_plan(corpus, queries, head, k, celled):
     shared = corpus.sparkSession.sparkContext.broadcast(head.select(
         ["query_id", "embedding"] + (["cells"] if celled else [])).to_pydict())
     kernel = _make_kernel
+    query_type = head.schema.field("query_id").type
 
     def run(batches):
         import numpy as np
@@ -123,6 +128,7 @@ def _broadcast_plan(corpus, queries, head, k, celled):
                 probing.setdefault(cell, []).append(row)
         best = None
         for batch in batches:
+            doc_type = batch.schema.field(0).type
             batch = batch.filter(batch.column(1).is_valid())
             if batch.num_rows == 0:
                 continue
@@ -143,8 +149,8 @@ def _broadcast_plan(corpus, queries, head, k, celled):
             found, ids, scores = best
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([query_ids[r] for r in found], type=None),
-                    pa.array(ids.tolist()),
+                    pa.array([query_ids[r] for r in found], type=query_type),
+                    pa.array(ids.tolist(), type=doc_type),
                     pa.array(scores),
                 ],
                 names=["query_id", "doc_id", "score"],
@@ -182,21 +188,29 @@ def _block_plan(corpus, queries, head, k, celled):
     right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
     keys = ["cell", "cb", "qb"]
     kernel = _make_kernel
+    query_type, id_type = head.schema.field("query_id").type, _arrow_type(corpus, "doc_id")
 
     def run(query_block, corpus_block):
         import numpy as np
         import pyarrow as pa
 
         ids_of, unit_rows, _, score = kernel(k, SCORE_DIGITS)
-        if not query_block.num_rows or not corpus_block.num_rows:
-            empty = {"query_id": query_block.column("query_id"), "doc_id": corpus_block.column("doc_id")}
-            return pa.table({n: c.slice(0, 0) for n, c in empty.items()} | {"score": pa.array([], pa.float64())})
+        # A side without rows for this key arrives as a table without columns.
+        if not (query_block.num_columns and corpus_block.num_columns):
+            return pa.table({
+                "query_id": pa.array([], type=query_type), "doc_id": pa.array([], type=id_type),
+                "score": pa.array([], type=pa.float64()),
+            })
         query_ids = query_block.column("query_id")
         found, ids, scores = score(
             np.arange(query_block.num_rows), unit_rows(query_block.column("embedding")),
             ids_of(corpus_block.column("doc_id")), unit_rows(corpus_block.column("embedding")),
         )
-        return pa.table({"query_id": query_ids.take(pa.array(found)), "doc_id": ids.tolist(), "score": scores})
+        return pa.table({
+            "query_id": query_ids.take(pa.array(found, type=pa.int64())),
+            "doc_id": pa.array(ids.tolist(), type=id_type),
+            "score": pa.array(scores, type=pa.float64()),
+        })
 
     schema = f"query_id {_field_type(queries, 'query_id')}, doc_id {_field_type(corpus, 'doc_id')}, score double"
     left = left.select("query_id", "embedding", *keys)
@@ -218,16 +232,18 @@ def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLO
     left = blocked.withColumn("j", F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1)))).withColumnRenamed("b", "i")
     right = blocked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b")))).withColumnRenamed("b", "j")
     kernel = _make_kernel
+    id_type = _arrow_type(vectors, "doc_id")
 
     def run(key, left_block, right_block):
         import numpy as np
         import pyarrow as pa
 
         ids_of, unit_rows, _, _ = kernel(1, SCORE_DIGITS)
-        a_ids, b_ids = ids_of(left_block.column("doc_id")), ids_of(right_block.column("doc_id"))
-        if not len(a_ids) or not len(b_ids):
-            empty = left_block.column("doc_id").slice(0, 0)
+        # A side without rows for this key arrives as a table without columns.
+        if not (left_block.num_columns and right_block.num_columns):
+            empty = pa.array([], type=id_type)
             return pa.table({"id_a": empty, "id_b": empty, "cosine": pa.array([], pa.float64())})
+        a_ids, b_ids = ids_of(left_block.column("doc_id")), ids_of(right_block.column("doc_id"))
         sims = unit_rows(left_block.column("embedding")) @ unit_rows(right_block.column("embedding")).T
         sims = np.round(sims, SCORE_DIGITS) + 0.0
         near = sims >= threshold
@@ -237,7 +253,9 @@ def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLO
         a, b = a_ids[r], b_ids[c]
         swap = a > b
         return pa.table({
-            "id_a": np.where(swap, b, a).tolist(), "id_b": np.where(swap, a, b).tolist(), "cosine": sims[r, c],
+            "id_a": pa.array(np.where(swap, b, a).tolist(), type=id_type),
+            "id_b": pa.array(np.where(swap, a, b).tolist(), type=id_type),
+            "cosine": pa.array(sims[r, c], type=pa.float64()),
         })
 
     kind = _field_type(vectors, "doc_id")
