@@ -195,8 +195,8 @@ def _block_plan(corpus, queries, head, k, celled):
         import pyarrow as pa
 
         ids_of, unit_rows, _, score = kernel(k, SCORE_DIGITS)
-        # A side without rows for this key arrives as a table without columns.
-        if not (query_block.num_columns and corpus_block.num_columns):
+        # A side without rows for this key may arrive without its columns.
+        if not all(side.num_rows and "embedding" in side.column_names for side in (query_block, corpus_block)):
             return pa.table({
                 "query_id": pa.array([], type=query_type), "doc_id": pa.array([], type=id_type),
                 "score": pa.array([], type=pa.float64()),
@@ -239,8 +239,8 @@ def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLO
         import pyarrow as pa
 
         ids_of, unit_rows, _, _ = kernel(1, SCORE_DIGITS)
-        # A side without rows for this key arrives as a table without columns.
-        if not (left_block.num_columns and right_block.num_columns):
+        # A side without rows for this key may arrive without its columns.
+        if not all(side.num_rows and "doc_id" in side.column_names for side in (left_block, right_block)):
             empty = pa.array([], type=id_type)
             return pa.table({"id_a": empty, "id_b": empty, "cosine": pa.array([], pa.float64())})
         a_ids, b_ids = ids_of(left_block.column("doc_id")), ids_of(right_block.column("doc_id"))
