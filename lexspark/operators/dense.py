@@ -29,7 +29,7 @@ def _arrow_type(df: DataFrame, column: str):
 
 
 def _make_kernel(k: int, digits: int):
-    """Functions shared by both plans, built inside a closure so tasks need no import of this module."""
+    """Functions shared by all plans; nested, so they travel with the task instead of being imported."""
     import numpy as np
     import pyarrow as pa
 
@@ -111,14 +111,13 @@ def _broadcast_plan(corpus, queries, head, k, celled):
         corpus = corpus.where(F.col("cell").isin(probed))
     shared = corpus.sparkSession.sparkContext.broadcast(head.select(
         ["query_id", "embedding"] + (["cells"] if celled else [])).to_pydict())
-    kernel = _make_kernel
+    ids_of, unit_rows, merge, score = _make_kernel(k, SCORE_DIGITS)
     query_type = head.schema.field("query_id").type
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        ids_of, unit_rows, merge, score = kernel(k, SCORE_DIGITS)
         query_ids = shared.value["query_id"]
         units = unit_rows(pa.array(shared.value["embedding"], type=pa.list_(pa.float64())))
         rows = np.arange(len(query_ids))
@@ -187,14 +186,13 @@ def _block_plan(corpus, queries, head, k, celled):
     left = left.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).cast("int"))
     right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
     keys = ["cell", "cb", "qb"]
-    kernel = _make_kernel
+    ids_of, unit_rows, _, score = _make_kernel(k, SCORE_DIGITS)
     query_type, id_type = head.schema.field("query_id").type, _arrow_type(corpus, "doc_id")
 
     def run(query_block, corpus_block):
         import numpy as np
         import pyarrow as pa
 
-        ids_of, unit_rows, _, score = kernel(k, SCORE_DIGITS)
         # A side without rows for this key may arrive without its columns.
         if not all(side.num_rows and "embedding" in side.column_names for side in (query_block, corpus_block)):
             return pa.table({
@@ -231,14 +229,13 @@ def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLO
     blocked = vectors.select("doc_id", "embedding", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("b"))
     left = blocked.withColumn("j", F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1)))).withColumnRenamed("b", "i")
     right = blocked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b")))).withColumnRenamed("b", "j")
-    kernel = _make_kernel
+    ids_of, unit_rows, _, _ = _make_kernel(1, SCORE_DIGITS)
     id_type = _arrow_type(vectors, "doc_id")
 
     def run(key, left_block, right_block):
         import numpy as np
         import pyarrow as pa
 
-        ids_of, unit_rows, _, _ = kernel(1, SCORE_DIGITS)
         # A side without rows for this key may arrive without its columns.
         if not all(side.num_rows and "doc_id" in side.column_names for side in (left_block, right_block)):
             empty = pa.array([], type=id_type)
