@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from lexspark.llm import mixing, quality
+from lexspark.llm import chat, mixing, quality, sharding, warc
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
     "op4_mixing": mixing.op4_mixing,
+    "op6_sharding": sharding.op6_sharding,
+    "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
+    "op1_chat": chat.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op9_warc": warc.ORACLE,
     "op10_quality": quality.ORACLE,
 }
