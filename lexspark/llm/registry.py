@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, mixing, quality, sharding, warc
+from lexspark.llm import chat, mixing, quality, sharding, transducer, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op4_mixing": mixing.op4_mixing,
+    "op5_token_counts": transducer.op5_token_counts,
     "op6_sharding": sharding.op6_sharding,
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
