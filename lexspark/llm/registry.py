@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, mixing, quality, sharding, transducer, warc
+from lexspark.llm import chat, mixing, quality, sharding, token_files, transducer, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op3_token_files": token_files.op3_token_files,
     "op4_mixing": mixing.op4_mixing,
     "op5_token_counts": transducer.op5_token_counts,
     "op6_sharding": sharding.op6_sharding,
