@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, decontaminate, mixing, quality, sharding, token_files, transducer, warc
+from lexspark.llm import chat, decontaminate, mixing, neardup, quality, sharding, token_files, transducer, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": transducer.op5_token_counts,
     "op6_sharding": sharding.op6_sharding,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
 }
