@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lexspark.llm import chat, decontaminate, mixing, neardup, quality, sharding, token_files, transducer, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_chat": chat.op1_chat,
     "op3_token_files": token_files.op3_token_files,
     "op4_mixing": mixing.op4_mixing,
@@ -21,3 +23,5 @@ ORACLES = {
     "op9_warc": warc.ORACLE,
     "op10_quality": quality.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
