@@ -121,7 +121,8 @@ def js_distance(counts: Column, references: list[list[int]]) -> Column:
     if not references:
         return F.lit(None).cast("double")
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    shares = F.transform(counts, lambda c: c / total)
+    # Bound as lambda variables, so the total and the shares are computed once.
+    bound = F.transform(F.array(F.struct(counts.alias("c"), total.alias("t"))), lambda s: F.transform(s["c"], lambda c: c / s["t"]))
 
     def nearest(p: Column) -> Column:
         own = F.aggregate(p, F.lit(0.0), lambda a, x: a + _plogp(x))
@@ -134,8 +135,7 @@ def js_distance(counts: Column, references: list[list[int]]) -> Column:
             found.append(1.0 - both / 2 + (own + alone) / 2)
         return F.sqrt(F.greatest(F.lit(0.0), F.least(*found) if len(found) > 1 else found[0]))
 
-    # Bound as a lambda variable, so the shares are computed once for all references.
-    return F.when(total > 0, F.element_at(F.transform(F.array(shares), nearest), 1))
+    return F.when(total > 0, F.element_at(F.transform(bound, nearest), 1))
 
 
 def score(docs: DataFrame, references: dict[str, tuple[list[int], list[int]]]) -> DataFrame:
@@ -157,7 +157,9 @@ def score(docs: DataFrame, references: dict[str, tuple[list[int], list[int]]]) -
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``: one pass for the references, one for the verdicts."""
     references = fit_references(_histograms(docs.select("text", "lang")))
-    return score(_with_base(_histograms(docs)), references).where("__q_kept").select(*docs.columns)
+    # A filter over plain columns would be pushed down with every count written out in it; it stops at a row number.
+    counted = _with_base(_histograms(docs)).withColumn("__q_row", F.monotonically_increasing_id())
+    return score(counted, references).where(F.col("__q_kept") & (F.col("__q_row") >= 0)).select(*docs.columns)
 
 
 def measure_quality(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 import corpus_pipeline
 from lexspark.llm import chat, decontaminate, mixing, neardup, quality, sharding, token_files, transducer, warc
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Let Python workers import this package from where the driver found it, whatever folder they start in."""
+
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+        if ROOT not in known.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+        return run(spark, sf_dir)
+
+    return call
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_chat": chat.op1_chat,
@@ -17,6 +37,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
 }
+QUERIES = {name: _shipped(run) for name, run in QUERIES.items()}
 ORACLES = {
     "op1_chat": chat.ORACLE,
     "op4_mixing": mixing.ORACLE,
