@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lexspark.llm import chat, decontaminate, mixing, neardup, quality, sharding, token_files, transducer, warc
+from lexspark.llm import chat, decontaminate, mixing, neardup, quality, sharding, suffixes, token_files, transducer, warc
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -28,6 +28,7 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_chat": chat.op1_chat,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_token_files": token_files.op3_token_files,
     "op4_mixing": mixing.op4_mixing,
     "op5_token_counts": transducer.op5_token_counts,
