@@ -7,10 +7,12 @@ df of two or more, so documents with less of those are alone and go no further.
 consistent weighted samples; documents whose samples agree in a band are compared by exact weighted Jaccard similarity,
 and classes are the connected components of the verified links.
 
-Copies of a text are folded first. In a band's bucket each document is compared with the bucket's first one; then every
-document outside the first one's component is in turn compared with all of other components, until no two components of
-a bucket are left uncompared. So a bucket of thousands of near copies costs one comparison each, and no link between
-different components is lost, without listing the pairs of a group.
+Copies of a text are folded first. The heads of a document are the first ones of its bands' buckets. Each document is
+compared with the smallest of its heads, then with those heads that this has not connected it to; then the documents
+outside the head's component are in turn compared with all of other components, until no two components of a bucket are
+left uncompared. Pairs whose shared weight by classes of shingles cannot reach the similarity are passed over, which
+loses none. So a bucket of thousands of linked near copies costs about one comparison each, and no link between
+different components is lost. Near copies that share buckets but stay below the similarity still meet pair by pair.
 
 Defined cases: null, empty and word-less texts are one class; equal words make one class whatever the spacing, case and
 punctuation; rows with equal or null ids stay separate rows; the class id is the smallest known doc_id in it; an empty
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.materialize import cut_lineage
@@ -40,7 +42,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 HASH_BITS = 56
 TEXT_BATCH = 1_000_000
-LEADERS_PER_ROUND = 8
+# Classes of shingles whose weights bound what two documents can have in common.
+PARTS = 16
+# Documents of a bucket that meet all others in the first round; twice as many in each next one.
+LEADERS = 8
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -171,7 +176,7 @@ def weighted_samples(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n_s
     return out
 
 
-VECTOR_SCHEMA = "vid long, doc_id long, same string, total double, bands array<long>, vector binary"
+VECTOR_SCHEMA = "vid long, doc_id long, same string, total double, shared array<float>, bands array<long>, vector binary"
 
 
 def _vectors(n_docs: int, n_buckets: int):
@@ -185,7 +190,7 @@ def _vectors(n_docs: int, n_buckets: int):
         total = np.bincount(owner, weights=weight, minlength=len(texts))
         shared = np.bincount(owner, weights=weight * (df > 1), minlength=len(texts))
         chosen = np.flatnonzero(shared >= SIMILARITY * total * (1 - 1e-9))
-        bands, vectors, same = [None] * len(texts), [None] * len(texts), [None] * len(texts)
+        bands, vectors, same, parts = ([None] * len(texts) for _ in range(4))
         if len(chosen):
             use = np.zeros(len(texts), bool)
             use[chosen] = True
@@ -203,11 +208,12 @@ def _vectors(n_docs: int, n_buckets: int):
                 part = slice(edges[n], edges[n + 1])
                 vectors[doc] = planes(np.diff(k[part], prepend=np.uint64(0)), 7) + w[part].tobytes()
                 bands[doc] = folded[:, n].view(np.int64).tolist()
+                parts[doc] = np.bincount((k[part] % np.uint64(PARTS)).astype(np.int64), w[part], PARTS).astype(np.float32)
                 low, high = everything[n], everything[n] + np.searchsorted(owner[everything[n]:], doc, "right")
                 same[doc] = _digest(key[low:high], count[low:high])
         vid = unit * (1 << 20) + np.arange(len(texts))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
-        columns = [vid, doc_ids, same, total, bands, vectors]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.binary()]
+        columns = [vid, doc_ids, same, total, parts, bands, vectors]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in VECTOR_SCHEMA.split(", ")])
 
     return run
@@ -246,6 +252,14 @@ def verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(of_b, "b").join(of_a, "a").mapInArrow(_verify, "a long, b long")
 
 
+def possible(a: str, b: str) -> Column:
+    """Whether two documents, structs of ``(vid, shared, total)``, can reach the similarity: in no class of shingles
+    they have more in common than the smaller weight of shared ones."""
+    least = F.zip_with(F.col(f"{a}.shared"), F.col(f"{b}.shared"), lambda x, y: F.least(x, y))
+    common = F.aggregate(least, F.lit(0.0), lambda total, x: total + x.cast("double"))
+    return common * (1 + SIMILARITY) >= (F.col(f"{a}.total") + F.col(f"{b}.total")) * (SIMILARITY * (1 - 1e-5))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links (a, b)``; large-star and small-star rounds of joins and minima."""
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
@@ -265,30 +279,43 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _linked(members: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Verified links among the members of buckets ``(bucket, vid)`` that connect all that can be connected."""
-    first = members.groupBy("bucket").agg(F.min("vid").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    shared = cut_lineage(members.join(first, "bucket"), "shared-buckets")
-    pairs = shared.where("vid <> head").select(F.col("head").alias("a"), F.col("vid").alias("b")).distinct()
-    links = cut_lineage(verified(pairs, vectors), "links")
-    led = None
+def _connected(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(node, root)`` over verified links that connect all that can be connected in the buckets ``(bucket, doc)``."""
+    first = members.groupBy("bucket").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    shared = cut_lineage(members.join(first, "bucket").withColumn("vid", F.col("doc.vid")).withColumn("head_vid", F.col("head.vid")), "shared-buckets")
+
+    def labels(roots: DataFrame) -> DataFrame:
+        found = shared.join(roots.withColumnRenamed("node", "vid"), "vid", "left").withColumn("label", F.coalesce("root", "vid")).drop("root")
+        heads = roots.select(F.col("node").alias("head_vid"), F.col("root").alias("head_root"))
+        found = found.join(heads, "head_vid", "left").withColumn("head_label", F.coalesce("head_root", "head_vid")).drop("head_root")
+        return cut_lineage(found, "labelled")
+
+    # A document meets the smallest of its heads, then those of other components, then whatever they leave open.
+    of_head = shared.where("vid <> head_vid").where(possible("doc", "head"))
+    nearest = of_head.groupBy("vid").agg(F.min("head_vid").alias("a")).select("a", F.col("vid").alias("b"))
+    nearest = cut_lineage(nearest, "nearest")
+    links = cut_lineage(verified(nearest, vectors), "links")
+    rest = labels(components(links)).where("label <> head_label").where(possible("doc", "head"))
+    rest = rest.select(F.col("head_vid").alias("a"), F.col("vid").alias("b")).distinct().join(nearest, ["a", "b"], "left_anti")
+    more = cut_lineage(verified(rest, vectors), "links")
+    led, n_leaders = None, LEADERS
     while True:
+        links = links.union(more)
         roots = components(links)
-        labelled = shared.join(roots.withColumnRenamed("node", "vid"), "vid", "left").withColumn("label", F.coalesce("root", "vid")).drop("root")
-        heads = roots.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
-        labelled = cut_lineage(labelled.join(heads, "head", "left").withColumn("head_label", F.coalesce("head_root", "head")).drop("head_root"), "labelled")
-        open_ones = labelled.where("label <> head_label").select("bucket", "vid", "label")
+        labelled = labels(roots)
+        open_ones = labelled.where("label <> head_label").select("bucket", "vid", "doc", "label")
         if led is not None:
             open_ones = open_ones.join(led, ["bucket", "vid"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("vid"))
-        leaders = cut_lineage(open_ones.withColumn("n", rank).where(F.col("n") <= LEADERS_PER_ROUND).drop("n"), "leaders")
+        leaders = cut_lineage(open_ones.withColumn("n", rank).where(F.col("n") <= n_leaders).drop("n"), "leaders")
         if leaders.isEmpty():
-            return links
-        others = labelled.select("bucket", F.col("vid").alias("b"), F.col("label").alias("label_b"))
-        pairs = leaders.select("bucket", F.col("vid").alias("a"), "label").join(others, "bucket").where("label <> label_b").select("a", "b").distinct()
-        links = cut_lineage(links.union(verified(pairs, vectors)), "links")
+            return roots
+        others = labelled.select("bucket", F.col("vid").alias("b"), F.col("doc").alias("doc_b"), F.col("label").alias("label_b"))
+        met = leaders.select(F.col("bucket").alias("in"), F.col("vid").alias("a"), "doc", "label").join(
+            others, (F.col("in") == F.col("bucket")) & (F.col("label") != F.col("label_b")) & possible("doc", "doc_b"))
+        more = cut_lineage(verified(met.select("a", "b").distinct(), vectors), "links")
         new = leaders.select("bucket", "vid")
-        led = cut_lineage(new if led is None else led.union(new), "led")
+        led, n_leaders = new if led is None else led.union(new), 2 * n_leaders
 
 
 def classify(blocks: DataFrame) -> DataFrame:
@@ -303,8 +330,9 @@ def classify(blocks: DataFrame) -> DataFrame:
     copies = near.groupBy("same").agg(F.min("vid").alias("first_vid"))
     heads = copies.select(F.col("first_vid").alias("vid"))
     unique = cut_lineage(near.join(heads, "vid", "left_semi"), "unique-vectors")
-    members = unique.select("vid", F.posexplode("bands").alias("band", "code")).select("vid", F.xxhash64("band", "code").alias("bucket"))
-    roots = components(_linked(members, unique))
+    doc = F.struct("vid", "shared", "total").alias("doc")
+    members = unique.select(doc, F.posexplode("bands").alias("band", "code")).select("doc", F.xxhash64("band", "code").alias("bucket"))
+    roots = _connected(members, unique)
     of_copy = near.select("vid", "same").join(copies, "same").select("vid", "first_vid")
     classed = of_copy.join(roots, of_copy["first_vid"] == roots["node"], "left").select("vid", F.coalesce("root", "first_vid").alias("root"))
     return vectors.select("vid", "doc_id").join(classed, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
