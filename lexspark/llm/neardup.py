@@ -46,6 +46,8 @@ TEXT_BATCH = 1_000_000
 PARTS = 16
 # Documents of a bucket that meet all others in the first round; twice as many in each next one.
 LEADERS = 8
+# Links that one task turns into stars at once; more links are dealt to more tasks.
+LINKS_PER_TASK = 1_000_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -260,11 +262,42 @@ def possible(a: str, b: str) -> Column:
     return common * (1 + SIMILARITY) >= (F.col(f"{a}.total") + F.col(f"{b}.total")) * (SIMILARITY * (1 - 1e-5))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of ``links (a, b)``; large-star and small-star rounds of joins and minima."""
-    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    while True:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one task as stars: every node and the smallest one it is connected to by them."""
+    ends = [[batch.column(c).to_numpy() for c in ("u", "v")] for batch in batches]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate([u for u, _ in ends] + [v for _, v in ends]), return_inverse=True)
+    u, v = at[:len(at) // 2], at[len(at) // 2:]
+    root = np.arange(len(nodes))
+    while len(u):
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    inner = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(nodes[root[inner]])], ["u", "v"])
+
+
+def _tangled(edges: DataFrame) -> bool:
+    """Whether some node points to two others, or to one that points on."""
+    out = edges.select(F.col("u").alias("n"), F.lit(1).alias("points"), F.lit(0).alias("met"))
+    into = edges.select(F.col("v").alias("n"), F.lit(0).alias("points"), F.lit(1).alias("met"))
+    nodes = out.union(into).groupBy("n").agg(F.sum("points").alias("points"), F.max("met").alias("met"))
+    return bool(nodes.agg(F.max((F.col("points") > 1) | ((F.col("points") > 0) & (F.col("met") > 0)))).first()[0])
+
+
+def components(links: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
+    """``(node, root)`` for every node of ``links (a, b)``.
+
+    Each task first turns the links it holds into stars; large-star and small-star rounds of joins and minima then
+    connect the stars of different tasks, until no node points to two others or to one that points on.
+    """
+    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+    n_tasks = max(1, math.ceil(edges.count() / links_per_task))
+    edges = cut_lineage(edges.coalesce(n_tasks).mapInArrow(_forest, "u long, v long"), "forest")
+    while _tangled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -273,10 +306,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least.withColumnRenamed("u", "n"), F.col("u") == F.col("n")).select("v", "m")
         edges = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = cut_lineage(edges, "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _connected(members: DataFrame, vectors: DataFrame) -> DataFrame:
