@@ -68,7 +68,7 @@ class HashedTokenEncoder:
             offsets = pa.array(np.arange(n + 1) * dim, type=pa.int32())
             return pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()))
 
-        return scatter(self._signed_buckets(text))
+        return F.when(text.isNotNull(), scatter(self._signed_buckets(text)))
 
     def similarities(self, text: Column, embeddings: Column) -> Column:
         """Cosines of a *short* text to an array of unit vectors, from the buckets the text touches.

@@ -44,8 +44,8 @@ HASH_BITS = 56
 TEXT_BATCH = 1_000_000
 # Classes of shingles whose weights bound what two documents can have in common.
 PARTS = 16
-# Documents of a bucket that meet all others in the first round; twice as many in each next one.
-LEADERS = 8
+# Documents of a bucket that meet all others in the first round, and how many times more do in each next one.
+LEADERS, GROWTH = 8, 8
 # Links that one task turns into stars at once; more links are dealt to more tasks.
 LINKS_PER_TASK = 1_000_000
 
@@ -248,7 +248,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` at the similarity or above."""
+    """The pairs ``(a, b)`` at the similarity or above, each once. They are stored first: their size decides the joins."""
+    pairs = cut_lineage(pairs.distinct(), "pairs")
     of_b = vectors.select(F.col("vid").alias("b"), F.col("vector").alias("v_b"), F.col("total").alias("t_b"))
     of_a = vectors.select(F.col("vid").alias("a"), F.col("vector").alias("v_a"), F.col("total").alias("t_a"))
     return pairs.join(of_b, "b").join(of_a, "a").mapInArrow(_verify, "a long, b long")
@@ -326,7 +327,7 @@ def _connected(members: DataFrame, vectors: DataFrame) -> DataFrame:
     nearest = cut_lineage(nearest, "nearest")
     links = cut_lineage(verified(nearest, vectors), "links")
     rest = labels(components(links)).where("label <> head_label").where(possible("doc", "head"))
-    rest = rest.select(F.col("head_vid").alias("a"), F.col("vid").alias("b")).distinct().join(nearest, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("head_vid").alias("a"), F.col("vid").alias("b")).join(nearest, ["a", "b"], "left_anti")
     more = cut_lineage(verified(rest, vectors), "links")
     led, n_leaders = None, LEADERS
     while True:
@@ -343,9 +344,9 @@ def _connected(members: DataFrame, vectors: DataFrame) -> DataFrame:
         others = labelled.select("bucket", F.col("vid").alias("b"), F.col("doc").alias("doc_b"), F.col("label").alias("label_b"))
         met = leaders.select(F.col("bucket").alias("in"), F.col("vid").alias("a"), "doc", "label").join(
             others, (F.col("in") == F.col("bucket")) & (F.col("label") != F.col("label_b")) & possible("doc", "doc_b"))
-        more = cut_lineage(verified(met.select("a", "b").distinct(), vectors), "links")
+        more = cut_lineage(verified(met.select("a", "b"), vectors), "links")
         new = leaders.select("bucket", "vid")
-        led, n_leaders = new if led is None else led.union(new), 2 * n_leaders
+        led, n_leaders = new if led is None else led.union(new), GROWTH * n_leaders
 
 
 def classify(blocks: DataFrame) -> DataFrame:

@@ -193,8 +193,7 @@ def _block_plan(corpus, queries, head, k, celled):
         import numpy as np
         import pyarrow as pa
 
-        # A side without rows for this key may arrive without its columns.
-        if not all(side.num_rows and "embedding" in side.column_names for side in (query_block, corpus_block)):
+        if not (query_block.num_rows and corpus_block.num_rows):
             return pa.table({
                 "query_id": pa.array([], type=query_type), "doc_id": pa.array([], type=id_type),
                 "score": pa.array([], type=pa.float64()),
@@ -202,7 +201,7 @@ def _block_plan(corpus, queries, head, k, celled):
         query_ids = query_block.column("query_id")
         found, ids, scores = score(
             np.arange(query_block.num_rows), unit_rows(query_block.column("embedding")),
-            ids_of(corpus_block.column("doc_id")), unit_rows(corpus_block.column("embedding")),
+            ids_of(corpus_block.column("doc_id")), unit_rows(corpus_block.column("vector")),
         )
         return pa.table({
             "query_id": query_ids.take(pa.array(found, type=pa.int64())),
@@ -212,8 +211,9 @@ def _block_plan(corpus, queries, head, k, celled):
 
     schema = f"query_id {_field_type(queries, 'query_id')}, doc_id {_field_type(corpus, 'doc_id')}, score double"
     left = left.select("query_id", "embedding", *keys)
-    right = right.select("doc_id", "embedding", *keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    # Names of its own, should both sides come from one frame.
+    right = right.select("doc_id", F.col("embedding").alias("vector"), *[F.col(c).alias(f"right_{c}") for c in keys])
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"right_{c}" for c in keys])).applyInArrow(run, schema)
 
 
 def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
@@ -228,7 +228,10 @@ def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLO
     # The salt makes block order unrelated to the id's own hash partitioning.
     blocked = vectors.select("doc_id", "embedding", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("b"))
     left = blocked.withColumn("j", F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1)))).withColumnRenamed("b", "i")
-    right = blocked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b")))).withColumnRenamed("b", "j")
+    # Names of its own: with both sides from one frame, column pruning would take the right side's columns away.
+    right = blocked.select(
+        F.col("doc_id").alias("right_id"), F.col("embedding").alias("right_vector"),
+        F.explode(F.sequence(F.lit(0), F.col("b"))).alias("right_i"), F.col("b").alias("right_j"))
     ids_of, unit_rows, _, _ = _make_kernel(1, SCORE_DIGITS)
     id_type = _arrow_type(vectors, "doc_id")
 
@@ -236,12 +239,11 @@ def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLO
         import numpy as np
         import pyarrow as pa
 
-        # A side without rows for this key may arrive without its columns.
-        if not all(side.num_rows and "doc_id" in side.column_names for side in (left_block, right_block)):
+        if not (left_block.num_rows and right_block.num_rows):
             empty = pa.array([], type=id_type)
             return pa.table({"id_a": empty, "id_b": empty, "cosine": pa.array([], pa.float64())})
-        a_ids, b_ids = ids_of(left_block.column("doc_id")), ids_of(right_block.column("doc_id"))
-        sims = unit_rows(left_block.column("embedding")) @ unit_rows(right_block.column("embedding")).T
+        a_ids, b_ids = ids_of(left_block.column("doc_id")), ids_of(right_block.column("right_id"))
+        sims = unit_rows(left_block.column("embedding")) @ unit_rows(right_block.column("right_vector")).T
         sims = np.round(sims, SCORE_DIGITS) + 0.0
         near = sims >= threshold
         if key[0].as_py() == key[1].as_py():
@@ -257,7 +259,7 @@ def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLO
 
     kind = _field_type(vectors, "doc_id")
     schema = f"id_a {kind}, id_b {kind}, cosine double"
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, schema)
+    return left.groupBy("i", "j").cogroup(right.groupBy("right_i", "right_j")).applyInArrow(run, schema)
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.encode import Encoder
+from lexspark.functions.text import WHITESPACE
 from lexspark.functions.vector import cosine, dot
 from lexspark.operators.records import sample_records
 
@@ -33,7 +34,7 @@ def grade(pairs: DataFrame, encoder: Encoder, threshold: float = 0.8) -> DataFra
     scored = pair_similarity(encoded, "_ref", "_ans").drop("_ref", "_ans")
     correct = F.col("cosine") >= threshold
     if "mandatory" in pairs.columns:
-        missing = F.array_except("mandatory", F.split(F.btrim("answer"), r"\s+"))
+        missing = F.array_except("mandatory", F.split("answer", WHITESPACE))
         correct = correct & (F.coalesce(F.size(missing), F.lit(0)) <= 0)
     return scored.withColumn("is_correct", F.coalesce(correct, F.lit(False)))
 
