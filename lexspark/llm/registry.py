@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lexspark.llm import chat, decontaminate, mixing, neardup, quality, sharding, suffixes, token_files, transducer, warc
+from lexspark.llm import (
+    chat, decontaminate, mixing, neardup, periodicity, quality, secrets, sharding, suffixes, token_files, transducer, trie, warc,
+)
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -37,6 +39,9 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
+    "op11_periodic_runs": periodicity.op11_periodic_runs,
+    "op12_secret_scan": secrets.op12_secret_scan,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 QUERIES = {name: _shipped(run) for name, run in QUERIES.items()}
 ORACLES = {
@@ -44,6 +49,7 @@ ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_quality": quality.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
