@@ -1,8 +1,10 @@
 """Token ids in binary shards compressed by Re-Pair.
 
 Documents are range-partitioned and sorted by id, encoded with the tokenizers library, and cut into shards of about
-``SHARD_TOKENS`` ids. In every shard the most frequent pairs of neighbouring ids are replaced by nonterminals, round
-after round, never across a document's end. A shard stores its rules with the length each expands to, the remaining
+``SHARD_TOKENS`` ids. In every shard the most frequent pairs of neighbouring ids are replaced by nonterminals, never across
+a document's end: in ``ROUNDS`` rounds, each of which replaces up to ``PAIRS_PER_ROUND`` pairs seen ``MIN_COUNT`` times or more
+at once, where one pair at a time until none repeats would need a pass for each. That stops within a few symbols in a
+thousand of the fixed point of these rounds. A shard stores its rules with the length each expands to, the remaining
 sequence, and where every document ends in it, so one document, or one id of it, is decoded without the rest.
 
 The format of a shard, little-endian: the magic ``RPAIR1``, one byte for the width of a sequence symbol (2 or 4) and one
@@ -10,8 +12,7 @@ of padding; uint32 counts of terminals (T), rules (R), symbols (S) and documents
 expansion lengths; S symbols, of which T + i stands for rule i; D uint32 ends of the documents among the symbols;
 D int64 document ids; D bytes that are 1 where the id is null. Shards are rows of a Parquet table that Spark writes.
 
-Chunks between spaces, tabs and line ends are encoded apart, which gives the same ids because the tokenizer drops white
-space and no token or special string spans it; a bounded table of chunks saves asking the library again.
+The library's model encodes every piece of a text once and a bounded table keeps its ids (``PieceEncoder``).
 
 Defined cases: a null text is an empty one and consists of the end id; null document ids come first; rows with the same
 id follow the hash of their text; an empty table has no shards; other columns are ignored; a very long text is one
@@ -20,10 +21,13 @@ document of one shard, whatever its length.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,65 +45,108 @@ MIN_COUNT = 8
 PAIRS_PER_ROUND = 4096
 HASH_BITS = 20
 BATCH_CHARS = 2_000_000
-CACHED_CHUNKS = 500_000
+CACHED_PIECES = 800_000
 CACHED_LENGTH = 48
 
-
-class ChunkEncoder:
-    """Ids of texts by way of their chunks, in one Python worker."""
+# The configuration that pieces are cut for, its pattern over lower-case Latin letters, and the texts for which
+# that is the same: printable characters up to U+017F, but for the no-break space, I with a dot, and control characters.
+KNOWN = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+PLAIN = re.compile(r"[\t\n\r\x20-~\u00a1-\u012f\u0131-\u017f]*")
+_LETTERS, _NUMBERS = r"a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t\n\r\x20{_LETTERS}{_NUMBERS}]+")
+BLANKS = re.compile(r"[ \t\n\r]")
+# No piece begins with it: pieces of plain texts hold no control character.
+WHOLE = "\x00"
+
+
+class PieceEncoder:
+    """Ids of texts by way of their pieces, in one Python worker.
+
+    With the configuration ``KNOWN`` the library lower-cases a text and runs its model on every match of a pattern. Both are
+    done here for texts of ``PLAIN`` characters only, where Python and the library agree on letters and case, and the
+    model itself sees each piece once as long as the bounded table has room. Chunks between blanks of any other text go
+    through the library, which drops white space, so no token spans a blank. Another configuration takes whole texts.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        described = json.loads(self.library.to_str())
+        self.by_piece = (described["normalizer"], described["pre_tokenizer"]) == KNOWN and described["model"].get("dropout") is None
+        special = sorted({t["content"][:2] for t in described["added_tokens"]})
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.terminals = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
-        # None stands for the end of a document, the empty chunk lies between two separators.
-        self.index: dict[str | None, int] = {None: 0, "": 1}
+        # None stands for the end of a document.
+        self.index: dict[str | None, int] = {None: 0}
         self.lengths = np.zeros(1 << 16, np.int64)
         self.offsets = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.flat[0], self.lengths[0], self.used = end_id, 1, 1
 
-    def _store(self, chunks: list[str]) -> None:
-        encoded = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces for the model, or texts for the library behind ``WHOLE``."""
+        if not self.by_piece:
+            return [WHOLE + text]
+        if PLAIN.fullmatch(text) and not self.special.search(text):
+            return PIECE.findall(text.lower())
+        return [WHOLE + chunk for chunk in BLANKS.split(text)]
+
+    def _ids(self, piece: str) -> list[int]:
+        if piece.startswith(WHOLE):
+            return self.library.encode(piece[len(WHOLE):], add_special_tokens=False).ids
+        if not piece.isascii():
+            piece = self.bytes.pre_tokenize_str(piece)[0][0]
+        return [token.id for token in self.model.tokenize(piece)]
+
+    def _store(self, pieces: list[str]) -> None:
+        encoded = list(map(self._ids, pieces))
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         first, total = len(self.index), int(sizes.sum())
-        while first + len(chunks) > len(self.lengths):
+        while first + len(pieces) > len(self.lengths):
             self.lengths, self.offsets = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.offsets))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.lengths[first:first + len(chunks)] = sizes
-        self.offsets[first:first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used:self.used + total] = np.fromiter((i for ids in encoded for i in ids), np.uint32, total)
+        self.lengths[first:first + len(pieces)] = sizes
+        self.offsets[first:first + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
         self.used += total
-        self.index.update(zip(chunks, range(first, first + len(chunks))))
+        self.index.update(zip(pieces, range(first, first + len(pieces))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and where each text ends."""
-        chunks: list[str | None] = []
+        pieces: list[str | None] = []
         ends = []
         for text in texts:
-            chunks.extend(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-            chunks.append(None)
-            ends.append(len(chunks))
-        unknown = set(chunks) - self.index.keys()
-        room = CACHED_CHUNKS - len(self.index)
-        kept = [c for c in unknown if len(c) <= CACHED_LENGTH][: max(0, room)]
+            pieces.extend(self._pieces(text))
+            pieces.append(None)
+            ends.append(len(pieces))
+        unknown = set(pieces).difference(self.index)
+        room = max(0, CACHED_PIECES - len(self.index))
+        kept = [p for p in unknown if len(p) <= CACHED_LENGTH][:room]
         if kept:
             self._store(kept)
         passing = list(unknown.difference(kept))
         mark = self.used
         if passing:
             self._store(passing)
-        found = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        found = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         sizes = self.lengths[found]
         upto = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.offsets[found] - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        for chunk in passing:
-            del self.index[chunk]
+        for piece in passing:
+            del self.index[piece]
         self.used = mark
         return ids, upto[np.asarray(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
 
@@ -220,7 +267,7 @@ class Shard:
             low = high
 
 
-_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 SHARD_SCHEMA = "part int, shard int, before long, n_tokens long, n_docs long, data binary"
 
 
@@ -229,7 +276,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (tokenizer, end_id) not in _ENCODERS:
-            _ENCODERS[tokenizer, end_id] = ChunkEncoder(tokenizer, end_id)
+            _ENCODERS[tokenizer, end_id] = PieceEncoder(tokenizer, end_id)
         encoder = _ENCODERS[tokenizer, end_id]
         part, shard, before = 0, 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
