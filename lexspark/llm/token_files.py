@@ -27,7 +27,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +38,13 @@ from lexspark.llm.common import table
 
 MAGIC = b"RPAIR1"
 END_ID = 2
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 3 << 19
 ROUNDS = 5
 MIN_COUNT = 8
 PAIRS_PER_ROUND = 4096
 HASH_BITS = 20
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 CACHED_PIECES = 800_000
-CACHED_LENGTH = 48
 
 # The configuration that pieces are cut for, its pattern over lower-case Latin letters, and the texts for which
 # that is the same: printable characters up to U+017F, but for the no-break space, I with a dot, and control characters.
@@ -59,18 +57,35 @@ KNOWN = (
 )
 PLAIN = re.compile(r"[\t\n\r\x20-~\u00a1-\u012f\u0131-\u017f]*")
 _LETTERS, _NUMBERS = r"a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t\n\r\x20{_LETTERS}{_NUMBERS}]+")
+PIECE = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\t\n\r\x20{_LETTERS}{_NUMBERS}]+")
 BLANKS = re.compile(r"[ \t\n\r]")
 # No piece begins with it: pieces of plain texts hold no control character.
 WHOLE = "\x00"
 
 
+class Numbers(dict):
+    """Numbers its keys as they come; ``taken`` gives the keys numbered since the last call, in order."""
+
+    def __init__(self, start: dict):
+        super().__init__(start)
+        self.new: list = []
+
+    def __missing__(self, key):
+        self.new.append(key)
+        number = self[key] = len(self)
+        return number
+
+    def taken(self) -> list:
+        new, self.new = self.new, []
+        return new
+
+
 class PieceEncoder:
     """Ids of texts by way of their pieces, in one Python worker.
 
     With the configuration ``KNOWN`` the library lower-cases a text and runs its model on every match of a pattern. Both are
     done here for texts of ``PLAIN`` characters only, where Python and the library agree on letters and case, and the
-    model itself sees each piece once as long as the bounded table has room. Chunks between blanks of any other text go
+    model itself sees each piece once as long as the bounded table has room; a batch that would overfill it is forgotten. Chunks between blanks of any other text go
     through the library, which drops white space, so no token spans a blank. Another configuration takes whole texts.
     """
 
@@ -82,14 +97,17 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Two bytes make a character from U+0080 to U+07FF: the library says what the model wants to see for either.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        seen = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xA1, 0x180))}
+        self.shown = {b: m for c, both in seen.items() for b, m in zip(c.encode(), both)}
         described = json.loads(self.library.to_str())
         self.by_piece = (described["normalizer"], described["pre_tokenizer"]) == KNOWN and described["model"].get("dropout") is None
         special = sorted({t["content"][:2] for t in described["added_tokens"]})
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.terminals = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
         # None stands for the end of a document.
-        self.index: dict[str | None, int] = {None: 0}
+        self.index = Numbers({None: 0})
         self.lengths = np.zeros(1 << 16, np.int64)
         self.offsets = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
@@ -103,26 +121,27 @@ class PieceEncoder:
             return PIECE.findall(text.lower())
         return [WHOLE + chunk for chunk in BLANKS.split(text)]
 
-    def _ids(self, piece: str) -> list[int]:
-        if piece.startswith(WHOLE):
-            return self.library.encode(piece[len(WHOLE):], add_special_tokens=False).ids
-        if not piece.isascii():
-            piece = self.bytes.pre_tokenize_str(piece)[0][0]
-        return [token.id for token in self.model.tokenize(piece)]
-
-    def _store(self, pieces: list[str]) -> None:
-        encoded = list(map(self._ids, pieces))
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        first, total = len(self.index), int(sizes.sum())
+    def _store(self, pieces: list[str], first: int) -> None:
+        sizes, encoded = np.zeros(len(pieces), np.int64), []
+        tokenize = self.model.tokenize
+        for i, piece in enumerate(pieces):
+            if piece[0] == WHOLE:
+                ids = self.library.encode(piece[1:], add_special_tokens=False).ids
+            elif piece.isascii():
+                ids = [token.id for token in tokenize(piece)]
+            else:
+                ids = [token.id for token in tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+            sizes[i] = len(ids)
+            encoded += ids
+        total = int(sizes.sum())
         while first + len(pieces) > len(self.lengths):
             self.lengths, self.offsets = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.offsets))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.lengths[first:first + len(pieces)] = sizes
         self.offsets[first:first + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
+        self.flat[self.used:self.used + total] = encoded
         self.used += total
-        self.index.update(zip(pieces, range(first, first + len(pieces))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and where each text ends."""
@@ -132,71 +151,93 @@ class PieceEncoder:
             pieces.extend(self._pieces(text))
             pieces.append(None)
             ends.append(len(pieces))
-        unknown = set(pieces).difference(self.index)
-        room = max(0, CACHED_PIECES - len(self.index))
-        kept = [p for p in unknown if len(p) <= CACHED_LENGTH][:room]
-        if kept:
-            self._store(kept)
-        passing = list(unknown.difference(kept))
-        mark = self.used
-        if passing:
-            self._store(passing)
+        mark, known = self.used, len(self.index)
         found = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        unknown = self.index.taken()
+        if unknown:
+            self._store(unknown, known)
         sizes = self.lengths[found]
         upto = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.offsets[found] - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        for piece in passing:
-            del self.index[piece]
-        self.used = mark
+        if len(self.index) > CACHED_PIECES:
+            for piece in unknown:
+                del self.index[piece]
+            self.used = mark
         return ids, upto[np.asarray(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
 
 
+def leading_keys(which: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` slots one key, and which of the entries have the key of their slot.
+
+    It is the key of the slot's last entry, or of the last that differs from it, whichever occurs more often: nearly always
+    the slot's most frequent one, found without a sort. What it misses is left to the next round.
+    """
+    first = np.zeros(n, np.uint64)
+    first[which] = keys
+    same = keys == first[which]
+    rest = np.flatnonzero(~same)
+    second = first.copy()
+    second[which[rest]] = keys[rest]
+    again = rest[keys[rest] == second[which[rest]]]
+    better = np.bincount(which[again], minlength=n) > np.bincount(which[same], minlength=n)
+    first[better] = second[better]
+    return first, keys == first[which]
+
+
 def repair(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules, expansion lengths, remaining sequence, and document ends in it."""
     sequence = ids.astype(np.uint32)
-    last = np.zeros(len(sequence), bool)
-    last[ends[ends > 0] - 1] = True
-    rules, lengths = [], np.ones(terminals, np.uint32)
+    stops = np.unique(ends[ends > 0])  # one past the last symbol of each document
+    rules, lengths, n_rules = [], np.ones(terminals, np.uint32), 0
     for _ in range(rounds):
         if len(sequence) < 2 * MIN_COUNT:
             break
         left, right = sequence[:-1], sequence[1:]
-        bins = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH_BITS)
-        bins[last[:-1]] = 0  # a pair never spans two documents; bin 0 is left to them
+        bins = left * np.uint32(0x9E3779B1)
+        bins ^= right * np.uint32(0x85EBCA77)
+        bins >>= np.uint32(32 - HASH_BITS)
+        bins[stops[:-1] - 1] = 0  # a pair never spans two documents; bin 0 is left to them
         counts = np.bincount(bins, minlength=1 << HASH_BITS)
         counts[0] = 0
-        least = max(MIN_COUNT, int(np.partition(counts, -PAIRS_PER_ROUND)[-PAIRS_PER_ROUND]))
-        at = np.flatnonzero((counts >= least)[bins])
-        keys = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-        pairs, which, seen = np.unique(keys, return_inverse=True, return_counts=True)
-        often = seen >= least
-        at, which = at[often[which]], which[often[which]]
+        frequent = np.flatnonzero(counts >= MIN_COUNT)
+        if len(frequent) > PAIRS_PER_ROUND:
+            least = int(np.partition(counts[frequent], -PAIRS_PER_ROUND)[-PAIRS_PER_ROUND])
+            frequent = frequent[counts[frequent] >= least]
+        slots = np.full(1 << HASH_BITS, -1, np.int32)
+        slots[frequent] = np.arange(len(frequent))
+        which = slots[bins]
+        at = np.flatnonzero(which >= 0)
+        which = which[at]
+        keys = left[at].astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= right[at]
+        pairs, same = leading_keys(which, keys, len(frequent))
+        often = same & (np.bincount(which[same], minlength=len(frequent)) >= MIN_COUNT)[which]
+        at, which = at[often], which[often]
         if not len(at):
             break
         # Of overlapping pairs every second one is replaced, counted from the left.
-        run = np.cumsum(np.concatenate([[True], np.diff(at) != 1])) - 1
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
-        taken = (np.arange(len(at)) - begin[run]) % 2 == 0
+        begin = np.where(np.diff(at, prepend=-2) != 1, at, 0)
+        taken = (at - np.maximum.accumulate(begin)) & 1 == 0
         at, which = at[taken], which[taken]
         used = np.bincount(which, minlength=len(pairs)) >= 2
         number = np.cumsum(used) - 1
-        at, which = at[used[which]], number[which[used[which]]]
+        twice = used[which]
+        at, which = at[twice], number[which[twice]]
         pairs = pairs[used]
         if not len(at):
             break
-        first = terminals + sum(map(len, rules))
         pair = np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], axis=1)
         rules.append(pair)
         lengths = np.concatenate([lengths, lengths[pair].sum(axis=1, dtype=np.uint32)])
-        sequence[at] = first + which
-        last[at] = last[at + 1]
+        sequence[at] = terminals + n_rules + which
+        n_rules += len(pair)
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
-        sequence, last = sequence[keep], last[keep]
+        sequence = sequence[keep]
+        stops = stops - np.searchsorted(at, stops - 1)
     new_ends = np.zeros(len(ends), np.int64)
-    stops = np.flatnonzero(last) + 1
-    new_ends[ends > np.concatenate([[0], ends[:-1]])] = stops
-    np.maximum.accumulate(new_ends, out=new_ends)
+    new_ends[ends > 0] = stops[np.searchsorted(np.unique(ends[ends > 0]), ends[ends > 0])]
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), lengths[terminals:], sequence, new_ends
 
 
@@ -259,8 +300,12 @@ class Shard:
         return symbol
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        ids = self._expand(self.sequence)
-        upto = np.concatenate([[0], np.cumsum(self.lengths[self.sequence], dtype=np.int64)])
+        """Every rule is expanded once, then each symbol copies its stretch of ids."""
+        lengths = self.lengths.astype(np.int64)
+        flat = np.concatenate([np.arange(self.terminals, dtype=np.uint32), self._expand(np.arange(self.terminals, len(lengths), dtype=np.uint32))])
+        sizes = lengths[self.sequence]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat((np.cumsum(lengths) - lengths)[self.sequence] - upto[:-1], sizes) + np.arange(upto[-1])]
         low = 0
         for doc_id, high in zip(self.doc_ids, upto[self.ends].tolist()):
             yield doc_id, ids[low:high]
