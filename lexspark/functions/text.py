@@ -13,14 +13,15 @@ from lexspark.functions.stopwords import FRENCH_STOPWORDS
 Tokenizer = Callable[[Column], Column]
 
 # Whitespace as Unicode defines it, spelled out because regex dialects differ.
-WHITESPACE = (
-    r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_SPACES = (
+    r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+WHITESPACE = f"[{_SPACES}]+"
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
-WORDPUNCT_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+WORDPUNCT_PATTERN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_SPACES}]+"
 
 
 def _accent_table() -> tuple[str, str]:

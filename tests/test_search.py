@@ -138,8 +138,10 @@ def test_encoders(spark):
     rows = texts.withColumn("v", encoder(F.col("text"))).withColumn(
         "unit", encoder(F.lit("chat bleu"))
     ).select("v", cosine(F.col("v"), F.col("unit")).alias("dense"), encoder.similarity(F.col("text"), F.col("unit")).alias("sparse"))
-    for row in rows.collect():
-        assert np.isclose(np.linalg.norm(row.v), 1) or not any(row.v)
+    got = rows.collect()
+    assert [row.v is None for row in got] == [False, False, True, False]
+    for row in got:
+        assert row.v is None or np.isclose(np.linalg.norm(row.v), 1) or not any(row.v)
         assert row.sparse is None or np.isclose(row.dense, row.sparse)
 
     def make():
