@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.ranking import top_k
+from lexspark.operators.cells import ROWS_PER_LEAF, BlockPairs
 
 SCORE_DIGITS = 6
 # A query batch up to this size is broadcast to every task; a larger one is joined block by block.
 MAX_BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 50_000
-PAIR_BLOCK_ROWS = 512
+PAIR_BLOCK_ROWS = 2048
 
 
 def _field_type(df: DataFrame, column: str) -> str:
@@ -216,50 +217,41 @@ def _block_plan(corpus, queries, head, k, celled):
     return left.groupBy(*keys).cogroup(right.groupBy(*[f"right_{c}" for c in keys])).applyInArrow(run, schema)
 
 
-def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
+def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLOCK_ROWS, rows_per_leaf: int = ROWS_PER_LEAF) -> DataFrame:
     """``(id_a, id_b, cosine)`` with ``id_a < id_b`` and cosine at or above ``threshold``; exact.
 
-    Rows are hashed into blocks of bounded size and each block pair is one matrix product; only
-    pairs that pass the threshold leave a task. Give one row per distinct vector
-    (see :func:`distinct_vectors`), so a group of copies costs one row.
+    Vectors meet in the block pairs of :mod:`lexspark.operators.cells`; each is one matrix product, and only pairs that pass
+    the threshold leave a task. Give one row per distinct vector (see :func:`distinct_vectors`), so a group of copies
+    costs one row.
     """
-    vectors = vectors.where(F.col("embedding").isNotNull())
-    n_blocks = max(1, math.ceil(vectors.count() / block_rows))
-    # The salt makes block order unrelated to the id's own hash partitioning.
-    blocked = vectors.select("doc_id", "embedding", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("b"))
-    left = blocked.withColumn("j", F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1)))).withColumnRenamed("b", "i")
-    # Names of its own: with both sides from one frame, column pruning would take the right side's columns away.
-    right = blocked.select(
-        F.col("doc_id").alias("right_id"), F.col("embedding").alias("right_vector"),
-        F.explode(F.sequence(F.lit(0), F.col("b"))).alias("right_i"), F.col("b").alias("right_j"))
-    ids_of, unit_rows, _, _ = _make_kernel(1, SCORE_DIGITS)
     id_type = _arrow_type(vectors, "doc_id")
+    ids_of, unit_rows, _, _ = _make_kernel(1, SCORE_DIGITS)
 
-    def run(key, left_block, right_block):
+    def run(same, left_block, right_block):
         import numpy as np
         import pyarrow as pa
 
-        if not (left_block.num_rows and right_block.num_rows):
-            empty = pa.array([], type=id_type)
-            return pa.table({"id_a": empty, "id_b": empty, "cosine": pa.array([], pa.float64())})
-        a_ids, b_ids = ids_of(left_block.column("doc_id")), ids_of(right_block.column("right_id"))
-        sims = unit_rows(left_block.column("embedding")) @ unit_rows(right_block.column("right_vector")).T
-        sims = np.round(sims, SCORE_DIGITS) + 0.0
-        near = sims >= threshold
-        if key[0].as_py() == key[1].as_py():
-            near &= a_ids[:, None] < b_ids[None, :]
-        r, c = np.nonzero(near)
-        a, b = a_ids[r], b_ids[c]
+        a_ids, b_ids = ids_of(left_block.column("doc_id")), ids_of(right_block.column("r_doc_id"))
+        ups, downs = unit_rows(left_block.column("embedding")), unit_rows(right_block.column("r_embedding"))
+        found = [(a_ids[:0], b_ids[:0], np.zeros(0))]
+        for low in range(0, len(a_ids), 512):
+            sims = np.round(ups[low : low + 512] @ downs.T, SCORE_DIGITS) + 0.0
+            near = sims >= threshold
+            if same:
+                near &= a_ids[low : low + 512, None] < b_ids[None, :]
+            r, c = np.nonzero(near)
+            found.append((a_ids[low + r], b_ids[c], sims[r, c]))
+        a, b, cosine = (np.concatenate(x) for x in zip(*found))
         swap = a > b
         return pa.table({
             "id_a": pa.array(np.where(swap, b, a).tolist(), type=id_type),
             "id_b": pa.array(np.where(swap, a, b).tolist(), type=id_type),
-            "cosine": pa.array(sims[r, c], type=pa.float64()),
+            "cosine": pa.array(cosine, type=pa.float64()),
         })
 
     kind = _field_type(vectors, "doc_id")
-    schema = f"id_a {kind}, id_b {kind}, cosine double"
-    return left.groupBy("i", "j").cogroup(right.groupBy("right_i", "right_j")).applyInArrow(run, schema)
+    pairs = BlockPairs(vectors, threshold, block_rows=block_rows, rows_per_leaf=rows_per_leaf)
+    return pairs.apply(run, f"id_a {kind}, id_b {kind}, cosine double")
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
