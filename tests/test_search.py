@@ -132,6 +132,51 @@ def test_cell_index(spark, tmp_path):
     assert len(norms) == 8 and np.allclose(norms, 1)
 
 
+def test_more_cells_than_a_task_holds(spark, monkeypatch):
+    """70,000 cells, searched in groups: every row gets the cells a scan of all centroids gives, ties included."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(70_000, 3))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[5000:5010] = points[17]
+    matrix = rng.normal(size=(400, 3)).astype(np.float32).astype(float)
+    matrix[0], matrix[1] = 0, points[17]
+    centroids = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "cell int, centroid array<double>")
+    monkeypatch.setattr(ann, "CENTROID_BYTES", 1000)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 7)
+    frame = vectors_frame(spark, matrix)
+    frame = frame.unionByName(spark.createDataFrame([(999, None)], frame.schema))
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    unit = matrix.astype(np.float32).astype(float)
+    unit = unit / np.where(norms > 0, np.linalg.norm(unit, axis=1, keepdims=True), 1)
+    sims = np.round(unit @ points.T, 6) + 0.0
+    want = {i: np.lexsort((np.arange(70_000), -row))[:4].tolist() for i, row in enumerate(sims)}
+    got = {r.doc_id: r.cells for r in ann.with_nearest(frame, centroids, 4, "cells").collect()}
+    assert got == want
+    assert {r.doc_id: r.cell for r in ann.assign_cells(frame, centroids).collect()} == {i: c[0] for i, c in want.items()}
+
+
+def test_two_level_training(spark, monkeypatch):
+    """Two levels find cells as good as one level's: members lie as close, and probing finds at least as much."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 12))
+    matrix = (centres[rng.integers(0, 60, 1500)] + rng.normal(scale=0.4, size=(1500, 12))).astype(np.float32)
+    v = vectors_frame(spark, matrix)
+    q = v.withColumnRenamed("doc_id", "query_id").where("query_id % 10 = 0")
+    exact = dense.dense_top_k(v, q, 5)
+    flat = ann.CellIndex.build(v, n_cells=49)
+    monkeypatch.setattr(ann, "FLAT_CELLS", 8)
+    deep = ann.CellIndex.build(v, n_cells=49)
+    points = {r.cell: np.array(r.centroid) for r in deep.centroids.collect()}
+    assert sorted(points) == list(range(len(points))) and 40 <= len(points) <= 58
+    assert all(abs(np.linalg.norm(p) - 1) < 1e-9 for p in points.values())
+    unit = matrix.astype(float) / np.linalg.norm(matrix.astype(float), axis=1, keepdims=True)
+    sims = np.round(unit @ np.stack([points[c] for c in range(len(points))]).T, 6)
+    assert {r.doc_id: r.cell for r in deep.vectors.collect()} == dict(enumerate(sims.argmax(axis=1).tolist()))
+    found = [ann.mean_recall(index.search(q, 5, 2), exact).first().mean_recall for index in (flat, deep)]
+    print("recall of one and of two levels:", found)
+    assert found[1] >= max(0.9, found[0] - 0.02)
+
+
 def test_encoders(spark):
     encoder = HashedTokenEncoder(16)
     texts = spark.createDataFrame([("chat noir",), ("",), (None,), ("chat chat bleu rouge vert",)], "text string")
