@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions.rows import unnest, unnest_structs
-from lexspark.functions.materialize import cut_lineage
+from lexspark.functions.rows import unnest_structs
+from lexspark.functions.materialize import cut_lineage, ordered_index
 from lexspark.functions.ranking import top_k
 from lexspark.functions.text import Tokenizer, bm25_tokens, term_counts
 from lexspark.operators.postings import forward_index
@@ -16,6 +16,12 @@ from lexspark.operators.postings import forward_index
 # The standard Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCORE_DIGITS = 4
+# Folders of a stored index, and document numbers listed at a time.
+TERM_BUCKETS, FILL_CHUNK = 256, 65_536
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass
@@ -23,8 +29,9 @@ class BM25Index:
     """``documents(doc_id, dl)``, ``postings(doc_id, dl, term, tf)`` and ``terms(term, df, idf)``.
 
     ``build`` tokenises the corpus once into a stored forward index; the rest is lazy over it.
-    ``write`` stores everything in a term-sorted layout for later search jobs.
-    ``stats`` holds one row ``(n_docs, avgdl, mean_idf)``.
+    ``write`` stores everything for later search jobs: postings in one folder per bucket of terms,
+    sorted by term, so a search reads the folders of its terms only; documents with their number in
+    ``doc_id`` order. ``stats`` holds one row ``(n_docs, avgdl, mean_idf)``.
     """
 
     documents: DataFrame
@@ -51,14 +58,16 @@ class BM25Index:
         stats = sizes.select("n_docs", "avgdl", mean_idf.scalar().alias("mean_idf"))
         return cls(documents, postings, terms, stats, tokenizer)
 
-    def write(self, path: str) -> None:
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        # Sorted by term within files, so row-group statistics prune postings by query term.
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(
+    def write(self, path: str, buckets: int = TERM_BUCKETS, files_per_bucket: int = 8) -> None:
+        """Store the index. A term in very many documents is spread over the files of its bucket."""
+        self._numbered().write.mode("overwrite").parquet(f"{path}/documents")
+        bucketed = self.postings.withColumn("bucket", _bucket(F.col("term"), buckets))
+        spread = F.pmod(F.xxhash64("doc_id"), F.lit(files_per_bucket))
+        bucketed.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "doc_id").write.mode(
             "overwrite"
-        ).parquet(f"{path}/postings")
+        ).partitionBy("bucket").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.stats.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark, path: str, tokenizer: Tokenizer = bm25_tokens) -> BM25Index:
@@ -83,11 +92,23 @@ class BM25Index:
         # The query side is small in the usual case and Catalyst broadcasts it on its size; when it
         # is not, the equi-join on term shuffles and AQE splits the frequent terms.
         return (
-            self.postings.join(weighted, "term")
+            self._postings_of(weighted).join(weighted, "term")
             .groupBy("query_id", "doc_id")
             .agg(F.round(F.sum(contribution), SCORE_DIGITS).alias("score"))
         )
 
+    def _postings_of(self, weighted: DataFrame) -> DataFrame:
+        """Postings of a stored index without the buckets no query term is in; the list has one number a bucket at most."""
+        if "bucket" not in self.postings.columns:
+            return self.postings
+        buckets = self.stats.select("buckets").first()["buckets"]
+        asked = weighted.select(_bucket(F.col("term"), buckets).alias("bucket")).distinct().collect()
+        return self.postings.where(F.col("bucket").isin([row["bucket"] for row in asked])).drop("bucket")
+
+    def _numbered(self) -> DataFrame:
+        """Documents with ``number``, from 0 in the order of ``doc_id``."""
+        return self.documents if "number" in self.documents.columns else ordered_index(self.documents, [F.asc("doc_id")], "number")
+
     def search(self, queries: DataFrame, k: int = 5, zero_fill: bool = True) -> DataFrame:
         """Top ``k`` documents per query: ``(query_id, doc_id, score, rank)``, ties by doc_id.
 
@@ -98,33 +119,27 @@ class BM25Index:
         scored = self.scores(queries)
         if not zero_fill:
             return top_k(scored, ["query_id"], order, k)
-        # One row more than asked, stored: it decides alone whether and how a query is filled.
-        best = cut_lineage(top_k(scored, ["query_id"], order, k + 1).drop("rank"), "best")
-        return top_k(best.unionByName(self._zero_fill(queries, best, k)), ["query_id"], order, k)
-
-    def _zero_fill(self, queries: DataFrame, best: DataFrame, k: int) -> DataFrame:
-        """The first ``k`` unmatched documents of each query that has fewer than ``k`` positive scores.
-
-        With a non-negative floor such a query matches at most ``k`` documents, all of them in
-        ``best``, so the 2k smallest ids hold k unmatched ones. A negative floor (almost every term
-        in almost every document) can break that bound; the job then stops with a message instead of
-        returning a wrong list.
+        best = cut_lineage(top_k(scored, ["query_id"], order, k), "best")
+        positive = best.where("score > 0").groupBy("query_id").agg(F.count("*").alias("positive"))
+        short = queries.join(positive, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).drop("positive")
+        if short.isEmpty():
+            return best
+        return top_k(best.drop("rank").unionByName(self._zero_fill(short, k)), ["query_id"], order, k)
+
+    def _zero_fill(self, short: DataFrame, k: int) -> DataFrame:
+        """The first ``k`` documents that match nothing of a query, for each query of ``short``.
+
+        Of the first ``matched + k`` documents at least ``k`` match nothing, if there are so many at all. Their
+        numbers are listed in chunks and those that match are taken out by an anti-join, so this costs each query
+        about as many rows as it has matches, also where a negative floor lets it match nearly everything.
         """
-        counted = best.groupBy("query_id").agg(
-            F.count("*").alias("matched"), F.count_if(F.col("score") > 0).alias("positive")
-        )
-        short = (
-            queries.select("query_id")
-            .distinct()
-            .join(counted, "query_id", "left")
-            .where(F.coalesce("positive", F.lit(0)) < k)
-        )
-        matched = F.coalesce("matched", F.lit(0))
-        smallest = self.documents.select("doc_id").orderBy("doc_id").limit(2 * k)
-        pool = smallest.agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).scalar()
-        guarded = F.when(
-            matched > k,
-            F.raise_error("more than k matches but fewer than k positive scores: use zero_fill=False"),
-        ).otherwise(pool)
-        fill = unnest(short, ["query_id"], guarded, "doc_id")
-        return fill.join(best, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+        documents = cut_lineage(self._numbered().select("doc_id", "number"), "numbers")
+        matched = self.scores(short).join(documents, "doc_id").select("query_id", "number")
+        matched = cut_lineage(matched, "matched")
+        sizes = matched.groupBy("query_id").agg(F.count("*").alias("matched"))
+        last = F.least(F.coalesce("matched", F.lit(0)) + k, F.lit(documents.count())) - 1
+        wanted = short.select("query_id").distinct().join(sizes, "query_id", "left").select("query_id", last.alias("last")).where("last >= 0")
+        chunks = wanted.select("query_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last", F.lit(FILL_CHUNK).cast("long"))).alias("low"))
+        numbers = chunks.select("query_id", F.explode(F.sequence("low", F.least("last", F.col("low") + FILL_CHUNK - 1))).alias("number"))
+        free = top_k(numbers.join(matched, ["query_id", "number"], "left_anti"), ["query_id"], [F.asc("number")], k)
+        return free.join(documents, "number").select("query_id", "doc_id", F.lit(0.0).alias("score"))

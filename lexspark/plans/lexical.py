@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from lexspark.functions.rows import unnest_with_position
 from lexspark.functions import text as T
 from lexspark.functions.materialize import new_table_path
+from lexspark.functions.text import PUNCTUATION, WHITESPACE
 from lexspark.operators.bm25 import BM25Index
 from lexspark.operators.postings import forward_index
 from lexspark.operators.vectorize import TermVectorizer
 from lexspark.plans.common import (
-    NORMALIZED_STOPWORDS_SQL, bm25_tokens_sql, documents, queries_table, sql_text, table, word_tokens_sql,
+    NORMALIZED_STOPWORDS_SQL, STOPWORDS_SQL, bm25_tokens_sql, documents, queries_table, sql_text, table, word_tokens_sql,
 )
 
 
@@ -144,9 +145,10 @@ QUERIES = {
 }
 
 BM25_SQL = f"""
-toks AS (SELECT doc_id, {bm25_tokens_sql('text')} AS toks FROM documents),
-docs AS (SELECT doc_id, len(toks) AS dl FROM toks),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM toks) GROUP BY 1, 2),
+pieces AS (SELECT doc_id, trim(unnest(regexp_split_to_array(lower(text), {sql_text(WHITESPACE)})), {sql_text(PUNCTUATION)}) AS term FROM documents),
+tf AS MATERIALIZED (
+  SELECT doc_id, term, count(*) AS tf FROM pieces ANTI JOIN (SELECT unnest({STOPWORDS_SQL}) AS term) s USING (term) WHERE term <> '' GROUP BY 1, 2),
+docs AS MATERIALIZED (SELECT documents.doc_id, coalesce(n, 0) AS dl FROM documents LEFT JOIN (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY 1) USING (doc_id)),
 raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM docs) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS r
         FROM tf GROUP BY 1),
 terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),

@@ -47,6 +47,39 @@ def test_bm25_matches_formula_with_zero_fill_and_repeats(spark, docs, tmp_path):
     assert index.search(queries, k=4, zero_fill=False).where("query_id = 12").count() == 0
 
 
+def test_bm25_fill_where_the_mean_idf_is_negative(spark, tmp_path, monkeypatch):
+    """Words in nearly all documents score below zero, so documents that match nothing come before those that match."""
+    texts = {i: "commun partout toujours" if i not in (3, 11) else "" for i in range(14)} | {20: "rare", 21: None}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(1, "commun"), (2, "rien"), (3, "rare commun"), (4, None)], "query_id long, query string")
+    from lexspark.operators import bm25
+
+    monkeypatch.setattr(bm25, "FILL_CHUNK", 4)
+    index = BM25Index.build(frame)
+    assert index.stats.first()["mean_idf"] < 0
+    index.write(str(tmp_path / "negative"), buckets=4)
+    for source in (index, BM25Index.load(spark, str(tmp_path / "negative"))):
+        for k in (3, 6, 40):
+            rows = source.search(queries, k).collect()
+            every = {(r.query_id, r.doc_id): r.score for r in source.scores(queries).collect()}
+            for query_id in (1, 2, 3, 4):
+                want = sorted(texts, key=lambda d: (-every.get((query_id, d), 0.0), d))[:k]
+                assert [r.doc_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == query_id] == want
+
+
+def test_bm25_search_reads_only_the_buckets_asked(spark, docs, tmp_path):
+    path = str(tmp_path / "buckets")
+    BM25Index.build(docs).write(path, buckets=64)
+    stored = BM25Index.load(spark, path)
+    one = spark.createDataFrame([(1, "chien")], "query_id long, query string")
+    files = {f.split("/bucket=")[1].split("/")[0] for f in stored._postings_of(one.select(F.lit("chien").alias("term"))).inputFiles()}
+    plan = stored.scores(one)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    read = stored._postings_of(one.select(F.lit("chien").alias("term")))
+    assert read.select("term").distinct().count() < stored.postings.select("term").distinct().count() and files
+    assert [r.doc_id for r in stored.search(one, 1).collect()] == [1]
+
+
 def test_vectorizer_options(spark, docs):
     with pytest.raises(ValueError):
         TermVectorizer.fit(docs, "other")
