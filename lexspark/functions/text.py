@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -24,30 +25,68 @@ WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 WORDPUNCT_PATTERN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_SPACES}]+"
 
 
-def _accent_table() -> tuple[str, str]:
-    """Characters that compatibility-decompose to one base character, and those bases.
+def normalize_word(word: str) -> str:
+    """Trim, lower-case and strip accents of a literal, used to prepare stopword lists."""
+    return _without_marks(word.strip().lower())
+
+
+def _without_marks(text: str) -> str:
+    decomposed = unicodedata.normalize("NFKD", text)
+    return "".join(c for c in decomposed if not unicodedata.combining(c))
+
+
+# Hangul syllables decompose by arithmetic: fixed values of the Unicode standard.
+_HANGUL, _LEAD, _VOWEL, _TRAIL, _N_VOWELS, _N_TRAILS = 0xAC00, 0x1100, 0x1161, 0x11A7, 21, 28
+_HANGUL_LAST = 0xD7A3
+# A character of no text, put in place of those that become several others.
+_SEVERAL = "\uffff"
+
+
+@functools.cache
+def _accent_levels() -> list[tuple[str, str]]:
+    """For j = 1, 2, …: the characters that become at least j others (the first level: that change), and their j-th.
 
-    Combining marks map to nothing: ``translate`` deletes characters beyond the replacement.
+    Combining marks stand at the end of the first level: ``translate`` deletes characters beyond the replacement.
     """
-    accented, plain, marks = [], [], []
-    for code in (*range(0x80, 0x2400), *range(0xFF00, 0xFFF0)):
+    changed = {}
+    for code in (*range(0x80, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
         char = chr(code)
-        if unicodedata.combining(char):
-            marks.append(char)
-            continue
-        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(base) == 1 and base != char:
-            accented.append(char)
-            plain.append(base)
-    return "".join(accented + marks), "".join(plain)
+        if (unicodedata.decomposition(char) or unicodedata.combining(char)) and (plain := _without_marks(char)) != char:
+            changed[char] = plain
+    marks = "".join(c for c, plain in changed.items() if not plain)
+    levels = []
+    while rest := {c: plain for c, plain in changed.items() if len(plain) > len(levels)}:
+        levels.append(("".join(rest), "".join(plain[len(levels)] for plain in rest.values())))
+    return [(levels[0][0] + marks, levels[0][1]), *levels[1:]]
 
 
-_ACCENTED, _PLAIN = _accent_table()
+def _code_point(offset: Column, first: int) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(offset + first), 4, "0")), "UTF-16BE")
 
 
 def strip_accents(text: Column) -> Column:
-    """Replace accented characters by their base character and drop combining marks."""
-    return F.translate(text, _ACCENTED, _PLAIN)
+    """Compatibility-decompose (NFKD) and drop combining marks, for every character of Unicode; stays in the JVM.
+
+    Most texts hold characters only that become one character or none, which is one ``translate``. Others are taken
+    apart into characters, and what a character becomes is put together position by position.
+    """
+    first, *further = _accent_levels()
+    several = further[0][0] + "".join(map(chr, range(_HANGUL, _HANGUL_LAST + 1)))
+    # The marks to delete stay last, beyond the replacement; the first rule for a character holds.
+    quick = F.translate(text, several + first[0], _SEVERAL * len(several) + first[1])
+
+    def whole(c: Column) -> Column:
+        more = [F.when(F.instr(F.lit(source), c) > 0, F.translate(c, source, target)).otherwise("") for source, target in further]
+        index = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - _HANGUL
+        trail = index % _N_TRAILS
+        syllable = F.concat(
+            _code_point((index / (_N_VOWELS * _N_TRAILS)).cast("int"), _LEAD), _code_point((index / _N_TRAILS).cast("int") % _N_VOWELS, _VOWEL),
+            F.when(trail > 0, _code_point(trail, _TRAIL)).otherwise(""),
+        )
+        return F.when(c.between(chr(_HANGUL), chr(_HANGUL_LAST)), syllable).otherwise(F.concat(F.translate(c, *first), *more))
+
+    taken_apart = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), whole), "")
+    return F.when(F.instr(quick, F.lit(_SEVERAL)) > 0, taken_apart).otherwise(quick)
 
 
 def normalize_text(text: Column) -> Column:
@@ -56,12 +95,6 @@ def normalize_text(text: Column) -> Column:
     return strip_accents(F.lower(trimmed))
 
 
-def normalize_word(word: str) -> str:
-    """The same normalisation for a literal, used to prepare stopword lists."""
-    decomposed = unicodedata.normalize("NFKD", word.strip().lower())
-    return "".join(c for c in decomposed if not unicodedata.combining(c))
-
-
 NORMALIZED_STOPWORDS: tuple[str, ...] = tuple(dict.fromkeys(map(normalize_word, FRENCH_STOPWORDS)))
 
 
