@@ -17,7 +17,7 @@ SIM_DIGITS = 6
 
 @dataclass
 class TermVectorizer:
-    """A fitted vocabulary ``(term, df, idf)``.
+    """A fitted vocabulary ``(term, df, idf)`` over ``n_docs`` documents.
 
     ``kind`` is ``"tfidf"`` (smooth idf, L2-normalised rows) or ``"count"`` (raw counts).
     """
@@ -25,6 +25,7 @@ class TermVectorizer:
     vocabulary: DataFrame
     kind: str = "tfidf"
     tokenizer: Tokenizer = word_tokens
+    n_docs: int = 0
 
     @classmethod
     def fit(cls, docs: DataFrame, kind: str = "tfidf", tokenizer: Tokenizer = word_tokens) -> TermVectorizer:
@@ -33,19 +34,21 @@ class TermVectorizer:
             raise ValueError("kind must be 'count' or 'tfidf'")
         counts = docs if "counts" in docs.columns else forward_index(docs, tokenizer)
         distinct = unnest(counts, [], "counts.term", "term")
-        n_docs = docs.agg(F.count("*").alias("n")).scalar()
-        idf = F.ln((n_docs + 1) / (F.col("df") + 1)) + 1
+        n_docs = counts.count()
+        idf = F.ln((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1
         vocabulary = distinct.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
-        return cls(vocabulary, kind, tokenizer)
+        return cls(vocabulary, kind, tokenizer, n_docs)
 
     def save(self, path: str) -> None:
-        self.vocabulary.withColumn("kind", F.lit(self.kind)).write.mode("overwrite").parquet(path)
+        """The vocabulary, and one row ``(kind, n_docs)``; the tokeniser is code and is given again on loading."""
+        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        settings = self.vocabulary.sparkSession.createDataFrame([(self.kind, self.n_docs)], "kind string, n_docs long")
+        settings.write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tokenizer: Tokenizer = word_tokens) -> TermVectorizer:
-        stored = spark.read.parquet(path)
-        first = stored.select("kind").first()
-        return cls(stored.drop("kind"), first["kind"] if first else "tfidf", tokenizer)
+        settings = spark.read.parquet(f"{path}/settings").first()
+        return cls(spark.read.parquet(f"{path}/vocabulary"), settings["kind"], tokenizer, settings["n_docs"])
 
     def counts(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
         """Raw term counts of texts, or of a forward index; narrow."""

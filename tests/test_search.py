@@ -90,6 +90,15 @@ def test_vectorizer_options(spark, docs):
     assert found[1].has_match and found[1].doc_id == 0 and not found[2].has_match and found[2].doc_id == 0
 
 
+def test_vectorizer_round_trip_keeps_kind_and_size(spark, docs, tmp_path):
+    for kind, frame in (("count", docs), ("tfidf", docs), ("count", docs.limit(0))):
+        fitted = TermVectorizer.fit(frame, kind)
+        fitted.save(str(tmp_path / "v"))
+        loaded = TermVectorizer.load(spark, str(tmp_path / "v"))
+        assert (loaded.kind, loaded.n_docs) == (kind, frame.count())
+        assert sorted(loaded.transform(docs).collect()) == sorted(fitted.transform(docs).collect())
+
+
 def vectors_frame(spark, matrix, name="doc_id"):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(matrix)]
     return spark.createDataFrame(rows, f"{name} long, embedding array<float>")
