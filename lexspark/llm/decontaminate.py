@@ -4,14 +4,15 @@ A document leaks an item if a window of its words, as long as the item, lies wit
 edit distance (words are lower-cased runs of letters, digits and underscores). Windows are compared through the CGK
 embedding: a random walk that repeats or advances over the words turns edit distance into Hamming distance, and tables
 of a few sampled steps of it collide for near pairs. The number of tables is fitted so that simulated pairs at the
-distance limit reach ``TARGET_RECALL``; every collision is verified by the exact distance. An item-sized window within
+distance limit reach ``TARGET_RECALL``; if ``MAX_TABLES`` do not reach it, as with odd items, windows meet all items
+with enough of their pairs instead. Every candidate is verified by the exact distance. An item-sized window within
 e edits keeps all but 2e of the item's neighbouring word pairs, so windows with fewer known pairs are passed over
 before the walk, which loses none.
 
 The items are the stated query set: they are read in blocks of ``BLOCK_BYTES``, each block is shipped with the tasks,
 and documents meet every block in place, so texts are never shuffled.
 
-Defined cases: null and empty texts leak nothing; items under ``MIN_ITEM_WORDS`` words are no passages and never leak;
+Defined cases: null and empty texts leak nothing; items without an id are passages like others and reported under a null id; items under ``MIN_ITEM_WORDS`` words are no passages and never leak;
 equal items are reported under each id; equal documents alike; empty tables give no leaks; other columns are carried
 along; windows never cross documents.
 """
@@ -87,8 +88,8 @@ class Embedding:
         return sum((read[steps[:, k], walk] + 2) * self.mix[k] for k in range(SAMPLED_STEPS))
 
 
-def fit_tables(items: list[np.ndarray], n_words: int, target: float = TARGET_RECALL) -> int:
-    """Number of tables at which pairs at the distance limit collide often enough; at most ``SIMULATED_PAIRS`` pairs."""
+def fit_tables(items: list[np.ndarray], n_words: int, target: float = TARGET_RECALL) -> int | None:
+    """Number of tables at which pairs at the distance limit collide often enough, if any; from ``SIMULATED_PAIRS`` pairs."""
     rng = np.random.default_rng(11)
     trial, pairs, hits = Embedding(MAX_TABLES), {}, []
     for n in range(SIMULATED_PAIRS):
@@ -108,8 +109,9 @@ def fit_tables(items: list[np.ndarray], n_words: int, target: float = TARGET_REC
         return TABLES_PER_WALK
     found = np.logical_or.accumulate(np.array(hits), axis=1).mean(axis=0)
     enough = np.flatnonzero(found >= target)
-    tables = int(enough[0]) + 1 if len(enough) else MAX_TABLES
-    return -(-tables // TABLES_PER_WALK) * TABLES_PER_WALK
+    if not len(enough):
+        return None
+    return -(-(int(enough[0]) + 1) // TABLES_PER_WALK) * TABLES_PER_WALK
 
 
 class ItemBlock:
@@ -126,11 +128,12 @@ class ItemBlock:
         every = [a for same in by_size.values() for _, a in same]
         pairs = [a[:-1] * self.width + a[1:] for a in every]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.embedding = Embedding(fit_tables(every, self.width)) if every else None
+        tables = fit_tables(every, self.width) if every else None
+        self.embedding = Embedding(tables) if tables else None
         self.sizes = {}
         for size, same in sorted(by_size.items()):
             rows = np.stack([a for _, a in same])
-            codes = self.embedding.codes(rows)
+            codes = self.embedding.codes(rows) if self.embedding else np.zeros((1, len(rows)), np.int64)
             order = np.argsort(codes, axis=1, kind="stable")
             own = np.zeros(len(self.pairs), bool)
             own[np.searchsorted(self.pairs, (rows[:, :-1] * self.width + rows[:, 1:]).ravel())] = True
@@ -147,6 +150,8 @@ class ItemBlock:
     def _candidates(self, size: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows and items of one size that share a table's code."""
         _, rows, codes, order, _ = self.sizes[size]
+        if self.embedding is None:
+            return self._sharing_pairs(rows, windows)
         found = []
         for own, sorted_codes, item in zip(self.embedding.codes(windows), codes, order):
             low, high = np.searchsorted(sorted_codes, own, "left"), np.searchsorted(sorted_codes, own, "right")
@@ -157,6 +162,22 @@ class ItemBlock:
         both = np.unique(np.concatenate(found))
         return both // len(rows), both % len(rows)
 
+    def _sharing_pairs(self, rows: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All windows and items that share as many neighbouring pairs as the distance limit leaves; loses none."""
+        size = rows.shape[1]
+        held = np.unique((rows[:, :-1] * self.width + rows[:, 1:]) * len(rows) + np.arange(len(rows))[:, None])
+        pairs, items = held // len(rows), held % len(rows)
+        found = []
+        for at, window in enumerate(windows):
+            asked = window[:-1] * self.width + window[1:]
+            low, high = np.searchsorted(pairs, asked, "left"), np.searchsorted(pairs, asked, "right")
+            n = high - low
+            item = items[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            near = np.flatnonzero(np.bincount(item, minlength=len(rows)) >= size - 1 - 2 * max_edits(size))
+            found.append(at * len(rows) + near)
+        both = np.concatenate(found)
+        return both // len(rows), both % len(rows)
+
     def scan(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """``(text, item_id, distance, first word, words)`` of the nearest window of every leaked item."""
         if not self.sizes:
@@ -214,12 +235,12 @@ class ItemBlock:
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[ItemBlock]:
     """The items in blocks of about ``block_bytes``, one at a time."""
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     for block in range(n_blocks):
         chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        yield ItemBlock(sorted(map(tuple, chosen.collect())))
+        yield ItemBlock(sorted(map(tuple, chosen.collect()), key=lambda item: (item[0] is None, item[0] or 0, item[1])))
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:

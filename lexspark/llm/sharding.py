@@ -6,7 +6,8 @@ however many documents there are. Items are placed largest first, each on the sh
 highest dot product with it, among the shards that still have bytes for it. The law that holds is ``bytes``.
 
 A large group is numbered in pieces by the hash of its ids, none over a ``LARGE``-th of the rows. It stays on one shard
-unless it exceeds ``SPLIT`` of a shard's capacity in some measure; then its pieces are placed one by one.
+if it has no more bytes than a shard's equal part. With more it cannot stay whole under the law, so its pieces are placed
+one by one. ``tokens`` are the words of the text, which need no vocabulary.
 
 Defined cases: a null text is grouped and measured as an empty one; an empty table gives no rows; equal rows are placed
 alike and numbered in any order; rows without an id share one piece; other columns are carried along.
@@ -23,7 +24,6 @@ from lexspark.llm.common import table, words
 N_SHARDS = 8
 LOTS = 4096
 LARGE = 1024
-SPLIT = 0.5
 # Bytes a shard may hold above its equal part before the next one is tried.
 SLACK = 0.002
 
@@ -65,9 +65,9 @@ class ShardPlan:
         share = F.greatest(*[F.col(m) / t for m, t in zip(MEASURES, total)])
         groups = self.measured.groupBy("key").agg(*sums)
         # At most LARGE groups can hold over a LARGE-th of each measure.
-        large = groups.where(share > 1.0 / LARGE).select(F.col("key").alias("__s_key"), F.ceil(share * LARGE).cast("long").alias("__s_pieces"), share.alias("share")).collect()
+        large = groups.where(share > 1.0 / LARGE).select(F.col("key").alias("__s_key"), F.ceil(share * LARGE).cast("long").alias("__s_pieces"), "size").collect()
         self.large = spark.createDataFrame([(r[0], r[1]) for r in large], "__s_key string, __s_pieces long")
-        self.split = {r[0] for r in large if r["share"] > SPLIT / n_shards}
+        self.split = {r[0] for r in large if r["size"] * n_shards > total[0]}
         units = self._tag(self.measured, F.col("key")).groupBy("__s_unit").agg(*sums).collect()
         vectors: dict[str, list[float]] = {}
         for u in units:
