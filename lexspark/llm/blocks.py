@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.materialize import cut_lineage
+from lexspark.llm.common import release_memory
 
 BLOCK_BYTES = 4_000_000
 BLOCK_SCHEMA = "unit long, n_rows long, n_bytes long, data binary"
@@ -107,6 +108,7 @@ def ask_buckets(
 
     def run(rows: pa.Table) -> pa.Table:
         replies = answer([unpack_sorted(d) for d in rows.column("data").to_pylist()], rows.column("extra").to_pylist())
+        release_memory()
         kept = pa.array([r is not None for r in replies])
         return pa.table({"u_id": rows.column("unit"), "bucket": rows.column("bucket"), "answer": pa.array(replies, pa.binary())}).filter(kept)
 
@@ -120,7 +122,9 @@ def with_answers(
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist()))
-        return pa.concat_tables([run(u, d, replies) for u, d in zip(left.column("unit").to_pylist(), left.column("data").to_pylist())])
+        found = pa.concat_tables([run(u, d, replies) for u, d in zip(left.column("unit").to_pylist(), left.column("data").to_pylist())])
+        release_memory()
+        return found
 
     return (
         blocks.select("unit", "data").groupBy("unit")

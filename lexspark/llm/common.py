@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +25,11 @@ def hash_fraction(*parts: Column) -> Column:
     """A number in [0, 1) drawn from 52 bits of an MD5 over ``parts``; nulls count as a text of their own."""
     seed = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\u0000null")) for p in parts])
     return F.conv(F.substring(F.md5(seed), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def release_memory() -> None:
+    """Give memory that a finished block no longer needs back to the system: workers wait for tasks beside a full heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import table
+from lexspark.llm.common import release_memory, table
 
 MAX_EDITS = 0.2
 MIN_ITEM_WORDS = 5
@@ -38,7 +38,8 @@ SAMPLED_STEPS = 3
 TABLES_PER_WALK = 4
 SIMULATED_PAIRS = 400
 BLOCK_BYTES = 4_000_000
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 250_000
+BATCH_ROWS = 1_000
 BATCH_WINDOWS = 2_000
 WORDS = re.compile(r"\w+")
 PAD = -1
@@ -243,6 +244,14 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield ItemBlock(sorted(map(tuple, chosen.collect()), key=lambda item: (item[0] is None, item[0] or 0, item[1])))
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``BATCH_ROWS`` at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(low, BATCH_ROWS)
+    release_memory()
+
+
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return [(b or b"").decode("utf-8", "replace") for b in batch.column("text").cast(pa.binary()).to_pylist()]
 
@@ -256,7 +265,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
     def scan_with(block: ItemBlock):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _small(batches):
                 doc_ids = batch.column("doc_id").to_pylist()
                 rows = [(doc_ids[i], *rest) for i, *rest in block.scan(_texts(batch))]
                 if rows:
@@ -272,7 +281,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
     def keep_with(block: ItemBlock, rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _small(batches):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[i for i, *_ in block.scan(_texts(batch))]] = False
                 yield batch.filter(pa.array(clean))

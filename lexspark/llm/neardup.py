@@ -48,6 +48,7 @@ PARTS = 16
 LEADERS, GROWTH = 8, 8
 # Links that one task turns into stars at once; more links are dealt to more tasks.
 LINKS_PER_TASK = 1_000_000
+SAMPLED_AT_ONCE = 1 << 16
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -156,7 +157,18 @@ def _frequencies(keys: list[np.ndarray], extras: list[bytes]) -> list[bytes | No
 
 
 def weighted_samples(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n_samples: int) -> np.ndarray:
-    """Improved consistent weighted samples, as one hash per sample and owner; ``owner`` counts from 0 without gaps."""
+    """Improved consistent weighted samples, as one hash per sample and owner; ``owner`` counts from 0 without gaps.
+
+    Owners are independent, so they are sampled in groups of about ``SAMPLED_AT_ONCE`` shingles to bound the scratch memory.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    group = starts // SAMPLED_AT_ONCE
+    firsts = starts[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))]
+    parts = [slice(a, b) for a, b in zip(firsts, np.append(firsts[1:], len(owner)))]
+    return np.concatenate([_weighted_samples(owner[p], key[p], weight[p], n_samples) for p in parts], axis=1)
+
+
+def _weighted_samples(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n_samples: int) -> np.ndarray:
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     sizes = np.diff(np.append(starts, len(owner)))
     log_weight = np.log(weight)

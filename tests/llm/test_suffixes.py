@@ -60,6 +60,7 @@ def test_empty_table(spark):
 def test_whole_table_against_brute_force(spark):
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     want = {r[0]: b for r, b in zip(rows, brute([(r[1] or "").encode() for r in rows]))}
-    got = {r[0]: tuple(r)[1:] for r in suffixes.op2_suffix_dedup(spark, SF).collect()}
-    assert got == want
+    rows = suffixes.op2_suffix_dedup(spark, SF).collect()
+    assert {r[0]: tuple(r)[1:5] for r in rows} == want and rows[0].__fields__[5:] == ["has_repeats"]
+    assert all(r["has_repeats"] == (r["n_removed"] > 0) for r in rows)
     assert any(b[1] for b in want.values())
