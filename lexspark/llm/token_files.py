@@ -12,7 +12,7 @@ of padding; uint32 counts of terminals (T), rules (R), symbols (S) and documents
 expansion lengths; S symbols, of which T + i stands for rule i; D uint32 ends of the documents among the symbols;
 D int64 document ids; D bytes that are 1 where the id is null. Shards are rows of a Parquet table that Spark writes.
 
-The library's model encodes every piece of a text once and a bounded table keeps its ids (``PieceEncoder``).
+The library's model encodes every word of a text once and a bounded table keeps its ids (``PieceEncoder``).
 
 Defined cases: a null text is an empty one and consists of the end id; null document ids come first; rows with the same
 id follow the hash of their text; an empty table has no shards; other columns are ignored; a very long text is one
@@ -44,7 +44,10 @@ MIN_COUNT = 8
 PAIRS_PER_ROUND = 4096
 HASH_BITS = 20
 BATCH_CHARS = 500_000
-CACHED_PIECES = 800_000
+CACHED_WORDS, CACHED_CHARS = 1_000_000, 12_000_000
+TABLE_BITS = 19
+# Kinds of bytes: 0 blanks, 1 ASCII letters and digits, 2 ASCII punctuation but for the apostrophe, 3 all others.
+_KINDS = np.array([0 if c <= 32 else 3 if c >= 127 or c == 39 else 1 if chr(c).isalnum() else 2 for c in range(256)], np.uint8)
 
 # The configuration that pieces are cut for, its pattern over lower-case Latin letters, and the texts for which
 # that is the same: printable characters up to U+017F, but for the no-break space, I with a dot, and control characters.
@@ -59,8 +62,8 @@ PLAIN = re.compile(r"[\t\n\r\x20-~\u00a1-\u012f\u0131-\u017f]*")
 _LETTERS, _NUMBERS = r"a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 PIECE = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\t\n\r\x20{_LETTERS}{_NUMBERS}]+")
 BLANKS = re.compile(r"[ \t\n\r]")
-# No piece begins with it: pieces of plain texts hold no control character.
-WHOLE = "\x00"
+# The word that stands for the end of a text: plain texts hold no control character.
+END = b"\x7f"
 
 
 class Numbers(dict):
@@ -80,13 +83,70 @@ class Numbers(dict):
         return new
 
 
-class PieceEncoder:
-    """Ids of texts by way of their pieces, in one Python worker.
+def cut_words(array: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of plain lower-case UTF-8 text begin and end, which has blanks around it.
 
-    With the configuration ``KNOWN`` the library lower-cases a text and runs its model on every match of a pattern. Both are
-    done here for texts of ``PLAIN`` characters only, where Python and the library agree on letters and case, and the
-    model itself sees each piece once as long as the bounded table has room; a batch that would overfill it is forgotten. Chunks between blanks of any other text go
-    through the library, which drops white space, so no token spans a blank. Another configuration takes whole texts.
+    Words are cut at blanks, and where a letter or an ASCII digit meets ASCII punctuation other than the apostrophe: no
+    match of the pattern goes on there.
+    """
+    kind = _KINDS[array]
+    # Letters of two bytes: all but the signs for multiplication and division, from U+00C0.
+    lead = np.flatnonzero(array >= 0xC3)
+    second = array[lead + 1]
+    letter = lead[(array[lead] != 0xC3) | ((second != 0x97) & (second != 0xB7))]
+    kind[letter] = kind[letter + 1] = 1
+    left, right = kind[:-1], kind[1:]
+    at = np.flatnonzero((left != right) & ((left == 0) | (right == 0) | (left * right == 2)))
+    return at[right[at] > 0] + 1, at[left[at] > 0] + 1
+
+
+class WordTable:
+    """Numbers of words of up to ``2 * 8`` bytes, for whole arrays of words at once.
+
+    A word is its own key, two integers of eight bytes each, so what is found is exact. Each word has one place; a word that
+    takes it puts out the one before, which is then unknown here until it is put again.
+    """
+
+    MOST = 16
+    _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def __init__(self, bits: int = TABLE_BITS):
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.numbers = np.zeros((1 << bits, 2), np.uint64), np.zeros(1 << bits, np.int64)
+
+    def keys_of(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keys of the words at ``begins`` of ``data``, which goes on for ``MOST`` bytes after the last of them."""
+        keys = np.lib.stride_tricks.sliding_window_view(data, self.MOST)[begins].view("<u8")
+        keys[:, 0] &= self._MASKS[np.minimum(sizes, 8)]
+        keys[:, 1] &= self._MASKS[np.clip(sizes - 8, 0, 8)]
+        return keys
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (mixed >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words, and which of them are known."""
+        places = self._places(keys)
+        held = self.keys[places]
+        return self.numbers[places], (held[:, 0] == keys[:, 0]) & (held[:, 1] == keys[:, 1])
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        # Two words of one call may share a place: one writer is chosen, so that its key and number stay together.
+        places, last = np.unique(self._places(keys)[::-1], return_index=True)
+        last = len(keys) - 1 - last
+        self.keys[places], self.numbers[places] = keys[last], numbers[last]
+
+
+class PieceEncoder:
+    """Ids of texts by way of their words, in one Python worker.
+
+    With the configuration ``KNOWN`` the library lower-cases a text and runs its model on every match of a pattern, none of
+    which spans a blank. Both are done here for texts of ``PLAIN`` characters only, where Python and the library agree on
+    letters and case. Words between blanks are cut and looked up as arrays; only a word not in the array table goes through
+    the dictionary, and the model sees the pieces of a word once as long as the bounded dictionary has room; a batch that
+    would overfill it is forgotten. Chunks between blanks of any other text go through the library, which drops white space,
+    so no token spans a blank. Another configuration takes whole texts.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -106,64 +166,98 @@ class PieceEncoder:
         special = sorted({t["content"][:2] for t in described["added_tokens"]})
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.terminals = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
-        # None stands for the end of a document.
-        self.index = Numbers({None: 0})
+        # Keys are words of plain texts as bytes, and strings for the library.
+        self.index = Numbers({END: 0})
+        self.chars = 0
+        self.table = WordTable()
         self.lengths = np.zeros(1 << 16, np.int64)
         self.offsets = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.flat[0], self.lengths[0], self.used = end_id, 1, 1
 
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces for the model, or texts for the library behind ``WHOLE``."""
-        if not self.by_piece:
-            return [WHOLE + text]
-        if PLAIN.fullmatch(text) and not self.special.search(text):
-            return PIECE.findall(text.lower())
-        return [WHOLE + chunk for chunk in BLANKS.split(text)]
-
-    def _store(self, pieces: list[str], first: int) -> None:
-        sizes, encoded = np.zeros(len(pieces), np.int64), []
+    def _plain_numbers(self, texts: list[str], known: int) -> np.ndarray:
+        """Numbers of the words of plain lower-case texts, 0 after each text; those below ``known`` are stored already."""
+        data = ("\n" + "".join(f"{text}\n{END.decode()}\n" for text in texts)).encode()
+        array = np.frombuffer(data + bytes(WordTable.MOST), np.uint8)
+        begins, ends = cut_words(array)
+        sizes = ends - begins
+        keys = self.table.keys_of(array, begins, sizes)
+        numbers, hit = self.table.find(keys)
+        missed = np.flatnonzero(~hit | (sizes > WordTable.MOST))
+        words = [data[a:b] for a, b in zip(begins[missed].tolist(), ends[missed].tolist())]
+        numbers[missed] = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        # A word comes into the table when a second batch has it: most words of a large corpus occur once.
+        again = missed[(numbers[missed] < known) & (sizes[missed] <= WordTable.MOST)]
+        self.table.put(keys[again], numbers[again])
+        return numbers
+
+    def _numbers(self, texts: list[str]) -> np.ndarray:
+        known, found, plain = len(self.index), [], []
+        for text in texts:
+            if self.by_piece and PLAIN.fullmatch(text) and not self.special.search(text):
+                plain.append(text.lower())
+                continue
+            if plain:
+                found.append(self._plain_numbers(plain, known))
+                plain = []
+            chunks = [*(BLANKS.split(text) if self.by_piece else [text]), END]
+            found.append(np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks)))
+        if plain:
+            found.append(self._plain_numbers(plain, known))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def _model_ids(self, piece: str) -> list[int]:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return [token.id for token in self.model.tokenize(shown)]
+
+    def _store(self, words: list[bytes | str], first: int) -> None:
+        sizes, encoded = np.zeros(len(words), np.int64), []
         tokenize = self.model.tokenize
-        for i, piece in enumerate(pieces):
-            if piece[0] == WHOLE:
-                ids = self.library.encode(piece[1:], add_special_tokens=False).ids
-            elif piece.isascii():
-                ids = [token.id for token in tokenize(piece)]
+        for i, word in enumerate(words):
+            before = len(encoded)
+            if isinstance(word, str):
+                encoded += self.library.encode(word, add_special_tokens=False).ids
+            elif word.isalpha():
+                encoded += [token.id for token in tokenize(word.decode())]
+            elif len(pieces := PIECE.findall(word.decode())) == 1:
+                encoded += self._model_ids(pieces[0])
             else:
-                ids = [token.id for token in tokenize(piece.encode().decode("latin-1").translate(self.shown))]
-            sizes[i] = len(ids)
-            encoded += ids
+                for piece in pieces:
+                    stored = self.index.get(piece.encode(), first)
+                    if stored < first:
+                        begin = self.offsets[stored]
+                        encoded += self.flat[begin:begin + self.lengths[stored]].tolist()
+                    else:
+                        encoded += self._model_ids(piece)
+            sizes[i] = len(encoded) - before
         total = int(sizes.sum())
-        while first + len(pieces) > len(self.lengths):
+        while first + len(words) > len(self.lengths):
             self.lengths, self.offsets = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.offsets))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.lengths[first:first + len(pieces)] = sizes
-        self.offsets[first:first + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[first:first + len(words)] = sizes
+        self.offsets[first:first + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used:self.used + total] = encoded
         self.used += total
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and where each text ends."""
-        pieces: list[str | None] = []
-        ends = []
-        for text in texts:
-            pieces.extend(self._pieces(text))
-            pieces.append(None)
-            ends.append(len(pieces))
         mark, known = self.used, len(self.index)
-        found = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        found = self._numbers(texts)
         unknown = self.index.taken()
+        chars = sum(map(len, unknown))
         if unknown:
             self._store(unknown, known)
         sizes = self.lengths[found]
         upto = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.offsets[found] - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        if len(self.index) > CACHED_PIECES:
-            for piece in unknown:
-                del self.index[piece]
+        if len(self.index) > CACHED_WORDS or self.chars + chars > CACHED_CHARS:
+            for word in unknown:
+                del self.index[word]
             self.used = mark
-        return ids, upto[np.asarray(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
+        else:
+            self.chars += chars
+        return ids, upto[found == 0]
 
 
 def leading_keys(which: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -39,13 +39,26 @@ def test_odd_texts_equal_the_library(library):
 
 
 def test_a_full_table_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(token_files, "CACHED_PIECES", 5)
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 5)
     encoder = token_files.PieceEncoder(PATH)
     for texts in (["one two three four", "five six"], ["seven one two", "", "x" * 100]):
         ids, ends = encoder.encode(texts)
         want = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
         assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
-    assert len(encoder.index) <= token_files.CACHED_PIECES
+    assert len(encoder.index) <= token_files.CACHED_WORDS
+
+
+def test_words_that_share_a_place_of_the_table(library):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdéz9'-", k=rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(900)] + ["\x7f", "a\x7fb", "n'est", "it's,"]
+    encoder = token_files.PieceEncoder(PATH)
+    encoder.table = token_files.WordTable(4)
+    for _ in range(6):
+        texts = [" ".join(rng.choices(words, k=200)) for _ in range(8)]
+        ids, ends = encoder.encode(texts)
+        want = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    assert np.count_nonzero(encoder.table.numbers) > 8
 
 
 def test_another_configuration_takes_whole_texts():
