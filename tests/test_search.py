@@ -243,3 +243,22 @@ def test_ordered_index(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"))
     got = ordered_index(df, [F.desc("x")], "n").collect()
     assert all(r.n == 999 - r.x for r in got) and len(got) == 1000
+
+
+def test_similarities_held_at_a_time_are_bounded():
+    import tracemalloc
+
+    from lexspark.operators import dense
+
+    rng = np.random.default_rng(0)
+    queries, units = rng.normal(size=(256, 4)), rng.normal(size=(50_000, 4))
+    score = dense._make_kernel(5, 6)[3]
+    tracemalloc.start()
+    rows, ids, scores = score(np.arange(256), queries, np.arange(50_000), units)
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    print(f"peak {peak:.0f} MB")
+    sims = np.round(queries @ units.T, 6) + 0.0
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :5]
+    assert (ids.reshape(256, 5) == best).all() and (scores == np.take_along_axis(sims, best, 1).ravel()).all()
+    assert peak < 64
