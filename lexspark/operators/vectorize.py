@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexspark.functions.rows import unnest, unnest_structs
 from lexspark.functions.ranking import top_k
 from lexspark.functions.text import Tokenizer, term_counts, word_tokens
+from lexspark.operators.matching import best_documents, is_small_batch
 from lexspark.operators.postings import forward_index
 
 SIM_DIGITS = 6
@@ -93,6 +94,20 @@ class TermVectorizer:
             dots.join(q_norm, "query_id").join(d_norm, "doc_id").select("query_id", "doc_id", sim.alias("sim"))
         )
 
+    def _best(self, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """``(query_id, doc_id, sim, rank)``: the ``k`` most similar documents; for a usual batch each task keeps its own best."""
+        if not is_small_batch(queries):
+            return top_k(self.similarities(docs, queries), ["query_id"], [F.desc("sim"), F.asc("doc_id")], k)
+        forward = docs if "counts" in docs.columns else self.index(docs)
+        q = self.weighted(queries.select("query_id", F.col("query").alias("text")), "query_id")
+        q = q.join(self.vocabulary.select("term", "idf"), "term")
+        q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        own = F.col("idf") if self.kind == "tfidf" else F.lit(1.0)
+        weights = q.join(q_norm, "query_id").select("query_id", "term", (F.col("w") * own / F.col("norm")).alias("weight"))
+        d_norm = self.weighted(forward).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        best = best_documents(forward, weights, lambda tf: tf / F.col("norm"), k, SIM_DIGITS, extra=d_norm)
+        return best.withColumnRenamed("score", "sim")
+
     def terms_of(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, text, terms)``: the non-zero terms of each row, sorted."""
         terms = F.sort_array(F.array_distinct(self.tokenizer(F.col("text"))))
@@ -106,7 +121,7 @@ class TermVectorizer:
         self, docs: DataFrame, queries: DataFrame, n: int = 1, index: DataFrame | None = None
     ) -> DataFrame:
         """The ``n`` most similar texts per query, with their terms; ties by doc_id."""
-        best = top_k(self.similarities(docs if index is None else index, queries), ["query_id"], [F.desc("sim"), F.asc("doc_id")], n)
+        best = self._best(docs if index is None else index, queries, n)
         return best.join(self.terms_of(docs), "doc_id").select(
             "query_id", "rank", "doc_id", "sim", "text", "terms"
         )
@@ -118,9 +133,7 @@ class TermVectorizer:
 
         A query that shares no term with the corpus gets similarity 0 and the first text.
         """
-        best = top_k(
-            self.similarities(docs if index is None else index, queries), ["query_id"], [F.desc("sim"), F.asc("doc_id")], 1
-        )
+        best = self._best(docs if index is None else index, queries, 1)
         first_doc = docs.agg(F.min("doc_id").alias("first")).scalar()
         filled = queries.select("query_id").join(best, "query_id", "left").select(
             "query_id",

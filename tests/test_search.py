@@ -47,6 +47,31 @@ def test_bm25_matches_formula_with_zero_fill_and_repeats(spark, docs, tmp_path):
     assert index.search(queries, k=4, zero_fill=False).where("query_id = 12").count() == 0
 
 
+def test_best_matches_in_small_slices_make_no_row_per_query_and_document(spark, monkeypatch):
+    """Each task gives at most ``k`` rows a query, and the same best as all scores ranked."""
+    from lexspark.functions.ranking import top_k
+    from lexspark.operators import matching
+
+    rng, words = np.random.default_rng(1), [f"mot{i}" for i in range(12)]
+    texts = [(i, " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(words[i : i + 3])) for i in range(9)] + [("q9", None)], "query_id string, query string")
+    made, best = [], matching.top_k
+    monkeypatch.setattr(matching, "top_k", lambda df, *rest: (made.append(df.count()), best(df, *rest))[1])
+    order = [F.asc("doc_id")]
+    for cells in (1, 64, 1 << 20):
+        monkeypatch.setattr(matching, "MATCH_CELLS", cells)
+        index, vectorizer = BM25Index.build(docs), TermVectorizer.fit(docs)
+        for got, scored, name in (
+            (index.search(queries, 4, zero_fill=False), index.scores(queries), "score"),
+            (vectorizer._best(docs, queries, 4), vectorizer.similarities(docs, queries), "sim"),
+        ):
+            expected = top_k(scored, ["query_id"], [F.desc(name), *order], 4)
+            columns = ["query_id", "doc_id", name, "rank"]
+            assert sorted(got.select(*columns).collect()) == sorted(expected.select(*columns).collect())
+    assert len(made) == 6 and max(made) <= 4 * 9 * 8
+
+
 def test_bm25_fill_where_the_mean_idf_is_negative(spark, tmp_path, monkeypatch):
     """Words in nearly all documents score below zero, so documents that match nothing come before those that match."""
     texts = {i: "commun partout toujours" if i not in (3, 11) else "" for i in range(14)} | {20: "rare", 21: None}
