@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from lexspark.llm import suffixes
@@ -53,6 +54,31 @@ def test_shared_passages(spark, parts):
         assert [tuple(s) for s in row["spans"]] == [(0, 2000)]
 
 
+def test_copied_stretches_are_folded(spark, monkeypatch):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh \né€") for _ in range(n))
+    base = [noise(3000) for _ in range(6)]
+    texts = [t for b in base for t in (b, b, noise(30) + b[:2500], b[200:], b[:1400] + "!" + b[1401:], noise(700))] + ["ab" * 900, "z" * 1500]
+    blocks, active, keys = [], 0, 0
+    for part in (texts[:20], texts[20:]):
+        encoded = [t.encode() for t in part]
+        blocks.append((np.frombuffer(b"".join(encoded), np.uint8), np.array([len(t) for t in encoded])))
+    sent = [suffixes._stretch_keys(d, *suffixes._stretches(d, s, 400), 400, 0) >> np.uint64(2) for d, s in blocks]
+    told = suffixes._copies([np.unique(k) for k in sent], [np.packbits(np.unique(k, return_counts=True)[1] > 1).tobytes() for k in sent])
+    for (data, sizes), key, reply in zip(blocks, sent, told):
+        begin, end = suffixes._stretches(data, sizes, 400)
+        # Every window begins in one stretch, and none is longer than a window.
+        assert sum((end - begin).tolist()) == sum(max(0, n - 399) for n in sizes.tolist()) and (end - begin).max() <= 400
+        monkeypatch.setattr(suffixes, "bucket_edges", lambda keys, n, bits: np.array([0, len(keys)]))
+        open_, copied = suffixes._folded(data, sizes, 400, {0: reply}, 1)
+        active, keys = active + int(open_.sum()), keys + int(suffixes._fitting(sizes, 400).sum())
+    assert active < 0.55 * keys
+    monkeypatch.undo()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: digest(r) for r in suffixes.remove_repeats(docs).collect()}
+    assert found == dict(enumerate(brute([t.encode() for t in texts])))
+
+
 def test_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
